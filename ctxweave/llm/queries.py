@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding, token_counts
+from . import cover_tree, language_id, line_dedup, packing, quality, sharding, token_counts
 from .common import table, tune
 
 
@@ -34,5 +34,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_sharding, op3_token_counts, op4_line_dedup)}
-SQL: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", cover_tree.quantized("embedding").alias("v"))
+    return cover_tree.top_k(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
+def _fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, _fold(4) != 2)
+    return language_id.identify(docs.withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False))), model)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text and quality of the documents that ``labels`` covers."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    model = quality.train(labelled(spark, sf_dir), _fold(5) != 0)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_fold(5) == 0, F.lit(False)))
+    return quality.score_quality(docs, model, ["doc_id", "held_out"], 0.3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_sharding, op3_token_counts, op4_line_dedup, op5_cover_tree, op9_language_id, op10_quality)}
+SQL: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op5_cover_tree": cover_tree.SQL}
