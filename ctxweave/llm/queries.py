@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, language_id, line_dedup, packing, quality, sharding, token_counts
+from . import cover_tree, decontaminate, language_id, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, token_counts
 from .common import table, tune
 
 
@@ -40,6 +40,22 @@ def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _fold(n: int) -> Column:
     """crc32 of doc_id as text, modulo ``n``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -64,5 +80,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, ["doc_id", "held_out"], 0.3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_sharding, op3_token_counts, op4_line_dedup, op5_cover_tree, op9_language_id, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_sharding, op3_token_counts, op4_line_dedup, op5_cover_tree, op6_suffix_dedup, op7_ngram_join, op8_decontamination, op9_language_id, op10_quality)}
 SQL: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op5_cover_tree": cover_tree.SQL}
