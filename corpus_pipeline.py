@@ -1,12 +1,85 @@
-"""From raw documents to packed sequences in five stages."""
+"""From raw documents to packed sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that the one before kept; all but the
+last return the columns of ``documents``. ``run`` writes each stage's rows to the folder of
+spark.checkpoint.dir and reads them back as the next one's documents, so a lost executor costs work of
+one stage only. An extra column whose name a stage uses inside is carried through unchanged.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ctxweave.llm import decontaminate, line_dedup, ngram_join, packing, quality
+from ctxweave.llm.common import stage, table, tune
+from ctxweave.llm.queries import fold, labelled
+
+#: Documents scored below this go.
+QUALITY = 0.3
+#: Lines that so many documents share go.
+LINE_DOCS = 10
+#: Near copies: shingles of so many words, and the similarity from which two documents link, in percent.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality network doesn't reject. It learns like op10_quality: from labelled rows outside the held-out fold (see quality.train for the bound)."""
+    tune(spark)
+    model = quality.train(labelled(spark, sf_dir), fold(5) != 0)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return quality.score_quality(held, model, ["row"], QUALITY).where("predicted = 1").select("row.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that LINE_DOCS documents share; n_chars follows. A document that loses every line stays, with an empty text."""
+    tune(spark)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+    held = docs.select(F.struct(*others).alias("row"), F.col("text").alias("before"), "text")
+    out = line_dedup.drop_shared_lines(held, LINE_DOCS)
+    kept = F.when(F.col("before").isNull(), F.lit(None)).otherwise(F.col("text"))
+    return out.withColumn("text", kept).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(c) if c in ("text", "n_chars") else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id. Rows without a doc_id stay."""
+    tune(spark)
+    near = ngram_join.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
+    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, not even slightly changed."""
+    tune(spark)
+    hits = decontaminate.find_passages(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = hits.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 2048 ids (see packing.pack_documents), with each piece's ids."""
+    tune(spark)
+    return packing.pack_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
+
 
-STAGES: list = []
-ORACLE_SQL = None
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: No SQL expresses the network, the approximate matches or the packing.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages, applied to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -56,7 +56,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _fold(n: int) -> Column:
+def fold(n: int) -> Column:
     """crc32 of doc_id as text, modulo ``n``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
@@ -64,8 +64,8 @@ def _fold(n: int) -> Column:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents")
-    model = language_id.train(docs, _fold(4) != 2)
-    return language_id.identify(docs.withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False))), model)
+    model = language_id.train(docs, fold(4) != 2)
+    return language_id.identify(docs.withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False))), model)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    model = quality.train(labelled(spark, sf_dir), _fold(5) != 0)
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_fold(5) == 0, F.lit(False)))
+    model = quality.train(labelled(spark, sf_dir), fold(5) != 0)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
     return quality.score_quality(docs, model, ["doc_id", "held_out"], 0.3)
 
 
