@@ -38,15 +38,19 @@ def col(c: str | Column) -> Column:
 
 def raw_words(text: str | Column) -> Column:
     """Runs of characters other than Unicode white space."""
-    return F.filter(F.split(col(text), r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(col(text), F.lit(r"(?U)\S+"), F.lit(0))
 
 
 def words(text: str | Column, keep: str = "", min_bytes: int = 1, stop: list[str] | None = None) -> Column:
-    """Lower-case words without the marks at their ends (other than ``keep``), at least ``min_bytes`` long, none of ``stop``."""
-    edge = f"[^{_ALNUM}{keep}]+"
-    bare = F.transform(raw_words(text), lambda w: F.regexp_replace(F.lower(w), f"^{edge}|{edge}$", ""))
-    long_enough = lambda w: F.octet_length(w) >= min_bytes
-    return F.filter(bare, (lambda w: long_enough(w) & ~w.isin(stop)) if stop else long_enough)
+    """Lower-case words without the marks at their ends (other than ``keep``), at least ``min_bytes`` long, none of ``stop``.
+
+    One pattern over the whole text finds each run's stretch from its first letter or digit to its last.
+    """
+    inner = f"[{_ALNUM}{keep}]"
+    bare = F.regexp_extract_all(F.lower(col(text)), F.lit(rf"(?U){inner}(?:\S*{inner})?"), F.lit(0))
+    if min_bytes <= 1 and not stop:
+        return bare
+    return F.filter(bare, lambda w: (F.octet_length(w) >= min_bytes) & ~w.isin(stop or []))
 
 
 def query_words(text: str | Column) -> Column:

@@ -28,14 +28,14 @@ def lines(chunks: DataFrame) -> DataFrame:
 def repetition(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """``rows`` with ``overlap``: the greatest share of a line's content words that one earlier chunk holds.
 
-    Earlier chunks' word sets run along the context as a window, so nothing is joined; a window frame
-    holds the sets of one context.
+    A line meets the earlier chunks through the words that they share, so no task holds a context's word sets.
     """
-    earlier = F.collect_list("fp").over(Window.partitionBy("ctx_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    seen = chunks.select("ctx_id", "pos", F.array_distinct(prune_words("content")).alias("fp")).withColumn("earlier", earlier).select("ctx_id", "pos", "earlier")
-    words = F.array_distinct("words")
-    share = F.array_max(F.transform("earlier", lambda f: F.size(F.array_intersect(words, f)) / F.greatest(F.size(words), F.lit(1))))
-    return rows.join(seen, ["ctx_id", "pos"]).withColumn("overlap", F.coalesce(share, F.lit(0.0))).drop("earlier")
+    said = rows.select("ctx_id", "pos", "line_no", F.explode(F.array_distinct("words")).alias("w"))
+    earlier = chunks.select("ctx_id", F.col("pos").alias("p"), F.explode(F.array_distinct(prune_words("content"))).alias("w"))
+    met = said.join(earlier, ["ctx_id", "w"]).where("p < pos").groupBy("ctx_id", "pos", "line_no", "p").agg(F.count(F.lit(1)).alias("c"))
+    most = met.groupBy("ctx_id", "pos", "line_no").agg(F.max("c").alias("c"))
+    n = F.size(F.array_distinct("words"))
+    return rows.join(most, ["ctx_id", "pos", "line_no"], "left").withColumn("overlap", F.when(F.col("c").isNull(), 0.0).otherwise(F.col("c") / F.greatest(n, F.lit(1)))).drop("c")
 
 
 def line_score() -> Column:
