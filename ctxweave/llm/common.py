@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,28 +11,36 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds of its input at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that very long texts do not pile up in a Python worker."""
+    """The package on the workers, and small Arrow batches, so that very long texts do not pile up there."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
     Only a local master may go without it: it gets a temporary folder of its own.
     """
     place = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="ctxweave-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    if place:
+        return place.rstrip("/")
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="ctxweave-")
+    return _LOCAL[app]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -46,19 +55,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Like ``stage``, bucketed by ``keys``: later joins on them shuffle their other side only.
+
+    There are as many buckets as spark.sql.shuffle.partitions.
+    """
+    spark = df.sparkSession
+    name, n = f"ctxweave_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = f"{shared_dir(spark)}/ctxweave-stage/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", place).bucketBy(n, *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (of files: their size); no job runs."""
-    n = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(n))
-
-
-def partitions_for(df: DataFrame, per_partition: int, least: int = 8, most: int = 1 << 17) -> int:
-    """So many partitions that each gets about ``per_partition`` bytes of ``df``."""
-    return max(least, min(most, -(-input_bytes(df) // per_partition)))
+    """Catalyst's size estimate of ``df`` (of files: their size), 4 GB where it knows none; no job runs."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 55 else 4 << 30
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes
+from .common import input_bytes, stage_by
 from .shared_keys import bucket_count, shared_keys, tokens
 
 #: A byte that UTF-8 never has; ends the forward part of a suffix's key.
@@ -204,7 +204,7 @@ def repeated_cuts(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     See ``remove_repeats``. ``docs`` has doc_id (not null), text_key and text (not null).
     """
     buckets = bucket_count(docs)
-    parts = 1 << max(6, (input_bytes(docs) // (4 << 20)).bit_length())
+    parts = 1 << max(6, min(18, (input_bytes(docs) // (4 << 20)).bit_length()))
     found = shared_keys(docs, lambda texts: anchors([t.encode() for t in texts], length, gram)[1:], 0.0, buckets).where("keys is not null").select("doc_id", "text_key", "keys")
     reach = length - gram
 
@@ -292,23 +292,41 @@ def repeated_cuts(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     return sent.groupBy("part").applyInArrow(merge, _CUTS_DDL)
 
 
+def first_copies(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the smallest doc_id of each text, bucketed by (doc_id, text_key), and the other rows, with texts below ``length`` bytes only.
+
+    ``docs`` has doc_id, text_key, text_key2 (together 128 bits of the text), text. Texts are shuffled once, by
+    document, so a text that many documents hold is spread; the firsts are found on hashes alone.
+    """
+    spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = docs.select("doc_id", "text_key", "text_key2", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    first = keys.groupBy("text_key", "text_key2").agg(F.min("doc_id").alias("doc_id"))
+    dealt = docs.repartition(n, "doc_id", "text_key")
+    held = dealt.join(first, ["doc_id", "text_key", "text_key2"], "left_semi").select("doc_id", "text_key", "text")
+    small = keys.withColumn("text", F.when(F.col("n_bytes") < length, F.col("text")))
+    return stage_by(held, ["doc_id", "text_key"], "texts"), small.join(first, ["doc_id", "text_key", "text_key2"], "left_anti")
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame:
     """doc_id, text (bytes left, as binary), n_bytes, n_removed, n_spans for each row of ``docs`` (doc_id, text).
 
-    Every byte goes that is covered by a string of ``length`` bytes which also starts in a document with a
-    smaller doc_id; strings are those of the input, and never cross documents. Null text is empty.
-    Rows with a null doc_id keep their text and take part in nothing. Rows with equal ids never cut each
-    other. Other columns are ignored.
-
-    Only suffixes that start at anchors (see ``anchors``; 2 of about ``length - gram`` positions) are needed
-    to find every shared string, and of these only those whose gram another row holds too, which a first
-    pass finds without sending the suffixes. Each task sorts its suffixes (``length`` bytes on from the
-    anchor, then ``length - gram`` backwards) and sends front-coded runs by the gram's hash; a string that
-    several documents of a task hold is sent once. Loser trees merge the runs.
+    Every byte goes that is covered by a string of ``length`` bytes which
+    also starts in a document with a smaller doc_id; strings are those of the input, and never cross
+    documents. Null text is empty. Rows with a null doc_id keep their text and take part in nothing. Rows with
+    equal ids never cut each other. Other columns are ignored.
+
+    Of equal texts only that of the smallest doc_id is searched; the others go whole, unless they are
+    shorter than ``length``. Only suffixes that start at anchors (see ``anchors``; 2 of about ``length - gram``
+    positions) are needed to find every shared string, and of these only those whose gram another row holds
+    too, which a first pass finds without sending the suffixes. Each task sorts its suffixes (``length`` bytes
+    on from the anchor, then ``length - gram`` backwards) and sends front-coded runs by the gram's hash; a
+    string that several documents of a task hold is sent once. Loser trees merge the runs.
     """
+    if not 16 <= gram < length or 2 * length - gram >= 255:
+        raise ValueError("gram must be at least 16 and below length, and 2 * length - gram below 255")
     whole = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("text_key"))
-    known = rows.where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("text_key"), F.xxhash64(F.lit(1), whole).alias("text_key2"))
+    known, copies = first_copies(rows.where("doc_id is not null"), length)
     cuts = repeated_cuts(known, length, gram).groupBy("doc_id", "text_key").agg(F.collect_list("cuts").alias("cuts"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +348,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFra
 
     joined = known.join(cuts, ["doc_id", "text_key"], "left").select("doc_id", "text", "cuts")
     joined = joined.unionByName(rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("cuts")))
-    return joined.mapInArrow(apply, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long")
+    gone = F.col("n_bytes") >= length
+    none = F.lit(0).cast("long")
+    left = copies.select("doc_id", F.when(gone, F.lit("")).otherwise(F.col("text")).cast("binary").alias("text"), "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(none).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).otherwise(none).alias("n_spans"))
+    return joined.mapInArrow(apply, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long").unionByName(left)
 
 
 def brute_force(rows: list[tuple[int, str]], length: int = 50) -> dict[int, tuple[int, int, int, str]]:
