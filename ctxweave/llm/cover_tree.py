@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEAF, FANOUT = 256, 24
+#: Points of a leaf, queries of a leaf, and the most centres that a ball's cover may need.
+LEAF, QUERY_LEAF, FANOUT = 256, 32, 24
 
 
 def quantized(vector: str | Column, scale: float = 64.0) -> Column:
@@ -35,12 +36,12 @@ class Node:
 class CoverTree:
     """Nested balls around points, each level's covering radius half the one above.
 
-    A ball whose half-radius cover needs more than FANOUT centres, or that holds at most LEAF points,
+    A ball whose half-radius cover needs more than FANOUT centres, or that holds at most ``leaf`` points,
     stays a leaf; its points are scored as one block. ``order`` has the points' rows by leaf.
     """
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.points = points.astype(np.float64)
+    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+        self.points, self.leaf = points.astype(np.float64), leaf
         self.order = np.arange(len(points))
         self.root = self._build(0, len(points), int(np.argmin(((self.points - self.points.mean(0)) ** 2).sum(1))))
 
@@ -51,7 +52,7 @@ class CoverTree:
         rows = self.order[low:high].copy()
         near = self._distances(rows, center)
         node = Node(self.points[center], float(near.max()), low, high)
-        if high - low <= LEAF or node.radius == 0:
+        if high - low <= self.leaf or node.radius == 0:
             return node
         centers, owner = [center], np.zeros(len(rows), int)
         while near.max() > node.radius / 2:
@@ -108,7 +109,7 @@ class Search:
     """
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> None:
-        self.queries, self.tree, self.top = queries, CoverTree(queries), TopK(query_ids, k)
+        self.queries, self.tree, self.top = queries, CoverTree(queries, QUERY_LEAF), TopK(query_ids, k)
         self.pruned = self.scored = 0
 
     def add(self, points: np.ndarray, ids: np.ndarray) -> None:

@@ -38,7 +38,7 @@ def tokens(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def bucket_count(docs: DataFrame) -> int:
     """Buckets for the keys of ``docs``: a power of two that grows with the input, so that a bucket stays some MB."""
-    return 1 << max(10, min(30, (input_bytes(docs) // (1 << 21)).bit_length()))
+    return 1 << max(10, min(18, (input_bytes(docs) // (1 << 21)).bit_length()))
 
 
 def _chunk(chunk: int, rows: list[tuple[int, int]], keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
