@@ -77,8 +77,9 @@ def test_duplicates_against_all_pairs(spark):
     for threshold in (0.15, 0.5, 1.0, 0.0):
         want = {(c, i, j): len(a & b) / len(a | b) if a | b else 0.0 for (c, i), a in sets.items() for (d, j), b in sets.items() if c == d and i < j}
         want = {k: v for k, v in want.items() if v >= threshold}
-        got = {(r.ctx_id, r.pos_a, r.pos_b): r.similarity for r in duplication.duplicate_pairs(df, threshold).collect()}
-        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+        for pairwise in (2000, 5, 0):
+            got = {(r.ctx_id, r.pos_a, r.pos_b): r.similarity for r in duplication.duplicate_pairs(df, threshold, pairwise).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
 def test_health_of_empty_single_and_identical(spark):
