@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ctxweave.llm import decontaminate, line_dedup, ngram_join, packing, quality
 from ctxweave.llm.common import stage, table, tune
-from ctxweave.llm.queries import fold, labelled
+from ctxweave.llm.queries import quality_model
 
 #: Documents scored below this go.
 QUALITY = 0.3
@@ -28,7 +28,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network doesn't reject. It learns like op10_quality: from labelled rows outside the held-out fold (see quality.train for the bound)."""
     tune(spark)
-    model = quality.train(labelled(spark, sf_dir), fold(5) != 0)
+    model = quality_model(spark, sf_dir)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     return quality.score_quality(held, model, ["row"], QUALITY).where("predicted = 1").select("row.*")
 

@@ -32,7 +32,9 @@ class Ppm:
 
     def __init__(self, samples: dict[str, list[bytes]], max_pairs: int = 2000) -> None:
         self.languages = sorted(samples)
-        folded = {lang: _FOLD[np.frombuffer(b"".join(_START + t for t in samples[lang]) or _START, np.uint8)] for lang in self.languages}
+        folded = {lang: _FOLD[np.frombuffer(b"".join(_START + t for t in samples[lang]), np.uint8)] for lang in self.languages}
+        if not folded:
+            return
         seen = np.unique(np.concatenate(list(folded.values())))
         self.size = a = len(seen) + 1  # the last symbol stands for bytes that were never seen
         self.symbol = np.full(256, a - 1, np.uint16)
@@ -128,25 +130,26 @@ class Ppm:
         return [self.languages[b] if h else "und" for b, h in zip(best, has, strict=True)], [float(x) if h else 0.0 for x, h in zip(share, has, strict=True)]
 
 
-def training_rows(docs: DataFrame, label: str, learn: Column, per_label: int, max_bytes: int) -> list:
-    """At most ``per_label`` rows (label, text) of each label among those with ``learn``, of at most ``max_bytes`` each.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int, max_bytes: int) -> list:
+    """At most ``per_label`` rows (doc_id, label, text) of each label among those with ``learn``, of at most ``max_bytes`` each.
 
-    Chosen by a hash of doc_id, so that the same rows are chosen however the table is laid out. Only
-    keys are ranked; the texts of the chosen rows alone reach the driver.
+    ``docs`` has doc_id and text, ``labels`` doc_id and ``label`` (it may be the same table). Rows are chosen by a
+    hash of doc_id, so the same ones however the tables are laid out. Only keys are joined and ranked; the
+    texts of the chosen rows alone are read out, by a broadcast of their ids, and reach the driver.
     """
-    keys = docs.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes)).select("doc_id", F.col(label).alias("__label"))
+    told = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("string").alias("__label"))
+    sized = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes)).select("doc_id")
     w = Window.partitionBy("__label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_label).select("doc_id", "__label")
-    ids = {r[0]: r[1] for r in chosen.collect()}
-    told = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, __label string")
-    texts = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("doc_id", "__label", "text").collect()
+    chosen = told.join(sized, "doc_id", "left_semi").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_label).select("doc_id", "__label")
+    ids = docs.sparkSession.createDataFrame(chosen.distinct().collect(), "doc_id long, __label string")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "__label", "text").collect()
     return sorted({(r[0], r[1], r[2]) for r in texts if r[2]})
 
 
 def train(docs: DataFrame, learn: Column, per_language: int = 300, max_bytes: int = 1 << 15) -> Ppm:
     """A model of every non-null ``lang`` of the rows with ``learn``, from at most ``per_language`` rows each."""
     samples: dict[str, list[bytes]] = {}
-    for _, lang, text in training_rows(docs, "lang", learn, per_language, max_bytes):
+    for _, lang, text in training_rows(docs, docs, "lang", learn, per_language, max_bytes):
         samples.setdefault(lang, []).append(text.encode())
     return Ppm(samples)
 

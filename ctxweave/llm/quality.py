@@ -104,24 +104,22 @@ class ByteCnn:
         x = self.features(np.concatenate(halves), counts)
         return 1 / (1 + np.exp(-(x @ self.weight + self.offset[0]).astype(np.float64)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, size: int = 32, rate: float = 0.01, seed: int = 7) -> ByteCnn:
-        """Adam over the cross-entropy; through a maximum only the window that has it learns."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 600, size: int = 32, rate: float = 0.01, seed: int = 7) -> ByteCnn:
+        """So many steps of Adam over the cross-entropy; through a maximum only the window that has it learns."""
         r = np.random.default_rng(seed)
         state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in vars(self).items()}
-        steps = 0
-        total = epochs * -(-len(texts) // size)
-        for _ in range(epochs):
-            order = r.permutation(len(texts))
-            for at in range(0, len(order), size):
-                rows = order[at : at + size]
-                grads = self._gradients([texts[i] for i in rows], labels[rows])
-                steps += 1
-                lr = rate * (1 - 0.9 * steps / total)
-                for k, g in grads.items():
-                    m, v = state[k]
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    getattr(self, k)[...] -= lr * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
+        order = np.zeros(0, int)
+        for step in range(1, steps + 1):
+            if len(order) < size:
+                order = np.concatenate([order, r.permutation(len(texts))])
+            rows, order = order[:size], order[size:]
+            grads = self._gradients([texts[i] for i in rows], labels[rows])
+            lr = rate * (1 - 0.9 * step / steps)
+            for k, g in grads.items():
+                m, v = state[k]
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                getattr(self, k)[...] -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
     def _gradients(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -169,19 +167,23 @@ class ByteCnn:
         return {"embed": dembed.astype(np.float32), "filters": dfilters, "bias": np.bincount(f, g, FILTERS).astype(np.float32), "weight": (d @ x).astype(np.float32), "offset": d.sum(keepdims=True)}
 
 
-def train(labelled: DataFrame, learn: Column, per_label: int = 1200, max_bytes: int = 1 << 14, epochs: int = 8) -> ByteCnn:
-    """A model from at most ``per_label`` rows of each ``quality`` (0 or 1) among those with ``learn``, of at most ``max_bytes`` each.
+def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 1000, max_bytes: int = 1 << 14, steps: int = 600) -> ByteCnn:
+    """A model from at most ``per_label`` rows of each ``quality`` (0 or 1) in ``labels`` among those with ``learn``, of at most ``max_bytes`` each.
 
     Without rows of both labels the untrained weights' unit is set to the share of label 1.
     """
-    rows = training_rows(labelled, "quality", learn & F.col("quality").isin(0, 1), per_label, max_bytes)
+    rows = training_rows(docs, labels, "quality", learn & F.col("quality").isin(0, 1), per_label, max_bytes)
     y = np.array([int(r[1]) for r in rows], np.float32)
     model = ByteCnn.new()
     if len(set(y.tolist())) < 2:
         model.weight[...] = 0
         model.offset[...] = 0 if not len(y) else 4 if y[0] else -4
         return model
-    return model.fit([r[2].encode() for r in rows], y, epochs)
+    model.fit([r[2].encode() for r in rows], y, steps)
+    # scores are probabilities among all labelled rows, not among the sample, which has as many rows of either label
+    all_of = {int(r[0]): r[1] for r in labels.where(learn & F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
+    model.offset += np.float32(np.log(all_of[1] / all_of[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    return model
 
 
 def score_quality(docs: DataFrame, model: ByteCnn, keep: list[str], threshold: float = 0.3) -> DataFrame:

@@ -68,14 +68,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False))), model)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text and quality of the documents that ``labels`` covers."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.ByteCnn:
+    """The network, from the labelled documents outside the held-out fold."""
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) != 0)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    model = quality.train(labelled(spark, sf_dir), fold(5) != 0)
+    model = quality_model(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
     return quality.score_quality(docs, model, ["doc_id", "held_out"], 0.3)
 
