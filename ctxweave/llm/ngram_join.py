@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import stage
 from .components import components
@@ -193,8 +192,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
     Equal sets become one class. Shingles that no other document holds only count; a class whose
     other shingles are too few for a link is done. The rest are joined: a linked pair shares a token
     in its prefixes (rarest first), so families are the components of classes that share one. Each
-    family is sorted by size, cut into blocks of ``block_bytes``, and each pair of blocks whose sizes can
-    link is one task's prefix-tree join, which yields groups, never pairs. No family or block is dropped.
+    family is cut into blocks of about ``block_bytes``, by size beyond one, and each pair of blocks whose sizes
+    can link is one task's prefix-tree join, which yields groups, never pairs. No family or block is dropped.
     """
     found = stage(shared_keys(docs, lambda t: shingles(t, words), percent / 100), "shingles")
     held = found.where("keys is not null and n > 0")
@@ -215,11 +214,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
     stars = prefix.groupBy("token").agg(F.min("cls").alias("v"), F.max("cls").alias("w")).where("v < w").select("token", "v")
     family = components(prefix.join(stars, "token").where("cls <> v").select(F.col("cls").alias("u"), "v"))
     rows = sets.join(family.withColumnRenamed("node", "cls").withColumnRenamed("component", "fam"), "cls")
-    w = Window.partitionBy("fam").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, -1)
-    place = rows.select("cls", "fam", "n", F.length("keys").alias("size")).withColumn("blk", F.coalesce(F.floor(F.sum("size").over(w) / block_bytes), F.lit(0)).cast("int"))
-    blocks = place.groupBy("fam", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # a family beyond one block is dealt by size band, as sizes a band apart or less alone can link, and by a hash within
+    place = rows.select("cls", "fam", F.floor(F.log(max(100 / percent, 1.0001) * (1 + 1e-9), "n")).cast("int").alias("band"), F.length("keys").alias("size"))
+    bands = place.groupBy("fam", "band").agg(F.sum("size").alias("size"))
+    whole = bands.groupBy("fam").agg((F.sum("size") <= block_bytes).alias("one"))
+    bands = bands.join(whole, "fam").select("fam", "band", F.when(F.col("one"), 0).otherwise(F.col("band") + 1).alias("row"), F.when(F.col("one"), 1).otherwise(F.ceil(F.col("size") / block_bytes)).cast("int").alias("parts"))
+    block = F.col("row") * (1 << 20) + F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    place = place.join(bands, ["fam", "band"]).select("cls", "fam", block.alias("blk"))
+    blocks = bands.select("fam", "row", F.explode(F.sequence(F.col("row") * (1 << 20), F.col("row") * (1 << 20) + F.col("parts") - 1)).alias("blk")).distinct()
     a, b = blocks.alias("a"), blocks.alias("b")
-    pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.blk") <= F.col("b.blk")) & (F.col("a.high") * 100 >= F.col("b.low") * percent)).select(F.col("a.fam").alias("fam"), F.col("a.blk").alias("i"), F.col("b.blk").alias("j"))
+    pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.blk") <= F.col("b.blk")) & (F.col("b.row") - F.col("a.row") <= 1)).select(F.col("a.fam").alias("fam"), F.col("a.blk").alias("i"), F.col("b.blk").alias("j"))
     uses = pairs.select("fam", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
     tasks = uses.join(place.select("fam", "blk", "cls"), ["fam", "blk"]).join(sets, "cls")
     links = tasks.groupBy("fam", "i", "j").applyInArrow(lambda t: _join_blocks(t, percent), "u long, v long")
