@@ -42,11 +42,12 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", b
     line and becomes an empty text. Every row is a document of its own, also a repeated one.
 
     The shared lines are written once. Up to ``broadcast_rows`` of them (32 bytes each) are
-    broadcast, more are shuffled; either way only positions to be dropped are then grouped by text,
-    so rows with nothing to drop meet an empty side.
+    broadcast, more are shuffled; either way only positions to be dropped are then grouped by row
+    (its text and other columns, so copies are spread), and rows with nothing to drop meet an empty side.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({text: whole, "__t": F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))})
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"] or [F.lit(0)]
+    rows = docs.withColumns({text: whole, "__t": F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"), F.xxhash64(*others).alias("row"))})
     shared = stage(shared_lines(docs, min_docs, text), "shared-lines")
     found = shared.count()
     if not found:
