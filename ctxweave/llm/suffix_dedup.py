@@ -59,7 +59,10 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
     most = _sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
     at = np.nonzero(most[: len(h)] == h[: len(most)])[0]
     owner = np.searchsorted(begin, at, "right") - 1
-    return at - begin[owner], h[at], np.bincount(owner, minlength=len(texts))
+    key = h[at]  # the least of many hashes, so their first bits are not even; mixed again they are
+    key = (key ^ (key >> np.uint64(32))) * _M[1]
+    key = (key ^ (key >> np.uint64(29))) * _M[2]
+    return at - begin[owner], key ^ (key >> np.uint64(32)), np.bincount(owner, minlength=len(texts))
 
 
 class LoserTree:
