@@ -73,7 +73,7 @@ class CoverTree:
 
 
 class TopK:
-    """The best k of each query so far, by score, then smaller id."""
+    """The best k of each query so far, by score, then smaller id; an id counts once for each of its scores."""
 
     def __init__(self, ids: np.ndarray, k: int) -> None:
         self.ids, self.k = ids, k
@@ -84,12 +84,16 @@ class TopK:
         """``scores`` of the queries ``rows`` against the points ``ids``."""
         scores = np.where(ids[None, :] == self.ids[rows][:, None], -np.inf, scores) if scores.dtype != object else scores
         floor = self.worst[rows]
-        if scores.dtype != object and scores.shape[1] > self.k:
-            floor = np.maximum(floor, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
+        one = np.unique(ids, return_index=True)[1]  # k different ids reach the floor, so k different entries do
+        if scores.dtype != object and len(one) > self.k:
+            alone = scores if len(one) == len(ids) else scores[:, one]
+            floor = np.maximum(floor, np.partition(alone, len(one) - self.k, axis=1)[:, len(one) - self.k])
         for i in np.nonzero((scores >= floor[:, None]).any(axis=1))[0]:
             hit = np.nonzero((scores[i] >= floor[i]) & (ids != self.ids[rows[i]]))[0]
             s, d = (np.concatenate([a, b]) for a, b in zip(self.best[rows[i]], (scores[i, hit].astype(np.int64), ids[hit]), strict=True))
-            first = np.lexsort((d, -s))[: self.k]
+            first = np.lexsort((d, -s))
+            s, d = s[first], d[first]
+            first = np.nonzero(np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1])][: len(s)])[0][: self.k]
             self.best[rows[i]] = s[first], d[first]
             if len(first) == self.k:
                 self.worst[rows[i]] = s[first[-1]]

@@ -49,6 +49,21 @@ def test_top_k_odd_rows(spark):
     assert cover_tree.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_top_k_with_rows_repeated_in_other_blocks(spark):
+    points = vectors(300, 8, 5)
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(points * 3, 1), "vec_id long, v array<long>")
+    asked = [p for p in points if p[0] % 20 == 0]
+    got = cover_tree.top_k(rows, rows.where("vec_id % 20 = 0"), 20, block_rows=300)
+    assert sorted(map(tuple, got.collect())) == brute_top(points, asked, 20)
+
+
+def test_an_id_takes_one_place_for_equal_scores():
+    top = cover_tree.TopK(np.array([100]), 3)
+    for _ in range(2):
+        top.add(np.array([0]), np.array([[9.0, 9.0, 9.0, 9.0, 8.0, 7.0, 6.0]]), np.array([1, 1, 1, 1, 2, 3, 4]))
+    assert [x.tolist() for x in top.best[0]] == [[9, 8, 7], [1, 2, 3]]
+
+
 def test_tree_prunes_and_covers():
     pts = np.array([v for _, v in vectors(4000, 4, 1, 2)], np.int64)
     tree = cover_tree.CoverTree(pts)
