@@ -18,6 +18,8 @@ CHUNK_DOCS, CHUNK_KEYS = 1 << 16, 1 << 21
 HEAVY = 32
 #: Class of a heavy key; of others the class is the binary logarithm of their number of documents, rounded down.
 HEAVY_CLASS = 255
+#: Tokens have fewer bits; above them is the number of a document's earlier keys that are cut to the same token.
+NUMBER_BIT = 51
 
 Extract = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -43,12 +45,11 @@ def bucket_count(docs: DataFrame) -> int:
 
 def _chunk(chunk: int, rows: list[tuple[int, int]], keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """The rows of a chunk: its keys by bucket, and what is known of its documents alone."""
-    token = tokens(keys, buckets)
     ref = np.repeat(np.arange(len(rows), dtype=np.uint16), counts)
-    order = np.argsort(token, kind="stable")
-    token, ref = token[order], ref[order]
-    fresh = np.r_[True, (token[1:] != token[:-1]) | (ref[1:] != ref[:-1])] if len(token) else np.zeros(0, bool)
-    token, ref = token[fresh], ref[fresh]
+    order = np.argsort(keys, kind="stable")
+    keys, ref = keys[order], ref[order]
+    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (ref[1:] != ref[:-1])] if len(keys) else np.zeros(0, bool)
+    keys, ref = keys[fresh], ref[fresh]
     n = np.bincount(ref, minlength=len(rows))
     sums = [np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)]
     by_doc = np.argsort(ref, kind="stable")
@@ -56,7 +57,8 @@ def _chunk(chunk: int, rows: list[tuple[int, int]], keys: np.ndarray, counts: np
     if len(some):
         cuts = (np.cumsum(n) - n)[some]
         for s, m in zip(sums, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), strict=True):
-            s[some] = np.add.reduceat(_mixed(token[by_doc], m), cuts)
+            s[some] = np.add.reduceat(_mixed(keys[by_doc], m), cuts)
+    token = tokens(keys, buckets)  # in the keys' order; keys of one document that are cut to the same token stay apart
     starts = np.nonzero(np.r_[True, token[1:] != token[:-1]])[0] if len(token) else np.zeros(0, int)
     size = np.diff(np.r_[starts, len(token)])
     heavy = np.repeat(size >= HEAVY, size)
@@ -110,6 +112,12 @@ def _assemble(rows: pa.Table, least: float) -> pa.Table:
     keys, refs, classes = join("keys", np.uint64), join("refs", np.uint16), join("classes", np.uint8)
     order = np.lexsort((keys, refs))
     keys, refs, classes = keys[order], refs[order], classes[order]
+    again = np.r_[False, (keys[1:] == keys[:-1]) & (refs[1:] == refs[:-1])] if len(keys) else np.zeros(0, bool)
+    if again.any():  # a document's second key of a token, and so on: its number goes above the token
+        at = np.arange(len(keys))
+        keys = keys | (at - np.maximum.accumulate(np.where(again, 0, at))).astype(np.uint64) << np.uint64(NUMBER_BIT)
+        order = np.lexsort((keys, refs))
+        keys, refs, classes = keys[order], refs[order], classes[order]
     cut = np.searchsorted(refs, np.arange(len(ids) + 1))
     has = np.diff(cut) >= np.maximum(1, np.ceil(least * n - 1e-9))
     part = lambda x: pa.array([x[cut[i] : cut[i + 1]].tobytes() if has[i] else None for i in range(len(ids))], pa.binary())
@@ -120,11 +128,12 @@ def shared_keys(docs: DataFrame, extract: Extract, least: float = 0.0, buckets:
     """A row for each row of ``docs`` (doc_id, text) with a doc_id: its distinct keys and the shared ones.
 
     ``extract`` gives for a list of texts their 64-bit keys, text after text, and each text's number
-    of keys. Result: doc_id, text_key (hash of the text), n (distinct keys), h1 and h2 (128 bits of the
+    of keys. Result: doc_id, text_key (hash of the text), n (distinct 64-bit keys), h1 and h2 (128 bits of the
     set of keys, alike for equal sets), keys (sorted unsigned 64-bit, each held by another row too)
     and their classes (see HEAVY_CLASS). Rows whose shared keys are fewer than ``least`` * n get null keys.
 
-    Keys are cut to 32 bits and the bucket's number, at least 42 bits in all. Two shuffles: keys
+    Keys are counted whole, then cut to 32 bits and the bucket's number, at least 42 bits in all; a
+    document's keys that are cut alike stay as many, told apart from bit NUMBER_BIT on. Two shuffles: keys
     with a 16-bit reference by bucket, 6 bytes each, and the shared ones back by chunk. A key that a
     third of all rows hold costs HEAVY - 1 references a chunk at most. Buckets grow with the input,
     so that a bucket's task holds some tens of MB at any size.

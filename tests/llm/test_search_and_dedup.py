@@ -201,6 +201,14 @@ def test_shared_keys_with_heavy_ones(spark, monkeypatch):
     assert all(r["keys"] is None for r in shared_keys.shared_keys(docs.coalesce(1), extract, 0.9).collect())
 
 
+def test_keys_are_counted_before_they_are_cut(spark):
+    docs = rows_of(spark, [(i, "x") for i in range(3)])
+    keys = np.array([5 << 40, (5 << 40) + 1, (5 << 40) + 2, 9 << 50, 9 << 50], np.uint64)  # three that are cut alike, and one twice
+    got = shared_keys.shared_keys(docs.coalesce(1), lambda texts: (np.tile(keys, len(texts)), np.full(len(texts), 5))).collect()
+    assert [r.n for r in got] == [4, 4, 4] and len({(r.h1, r.h2) for r in got}) == 1
+    assert all(len(set(np.frombuffer(r["keys"], np.uint64).tolist())) == 4 and r["keys"] == got[0]["keys"] for r in got)
+
+
 def test_components(spark):
     r = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)]
