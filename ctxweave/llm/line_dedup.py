@@ -24,22 +24,28 @@ def _hashes(line: Column) -> Column:
     return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
 
 
-def shared_lines(docs: DataFrame, min_docs: int, text: str = "text") -> DataFrame:
-    """Hashes (a, b) of the line keys that at least ``min_docs`` rows hold.
+def shared_lines(docs: DataFrame, min_docs: int, text: str = "text", doc: str | None = None) -> DataFrame:
+    """Hashes (a, b) of the line keys that at least ``min_docs`` documents hold.
 
-    A row counts once for each of its keys, and counts are summed before the shuffle, so a line that
-    a third of all rows share costs one record for each task.
+    Every row is a document of its own, or with ``doc`` rows of one id in that column are one document
+    and null ids don't count. A row counts once for each of its keys, and counts are summed before the shuffle,
+    so a line that a third of all rows share costs one record for each task. Only where ids are repeated
+    or null are lines first grouped by hash and id, which spreads such a line by its ids.
     """
     hashes = F.array_distinct(F.array_compact(F.transform(F.split(F.col(text), "\n", -1), _hashes)))
-    return docs.select(F.explode(hashes).alias("h")).groupBy("h.a", "h.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    lines = docs.select(F.explode(hashes).alias("h"))
+    if doc and not docs.groupBy(F.col(doc).alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or d is null").isEmpty():
+        lines = docs.where(F.col(doc).isNotNull()).select(F.explode(hashes).alias("h"), F.col(doc).alias("d")).distinct()
+    return lines.groupBy("h.a", "h.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
 
 
-def drop_shared_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
-    """``docs`` with lines that at least ``min_docs`` rows share dropped from ``text``.
+def drop_shared_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", broadcast_rows: int = 200_000, doc: str | None = None) -> DataFrame:
+    """``docs`` with lines that at least ``min_docs`` documents share dropped from ``text``.
 
     Adds ``n_lines`` (before dropping) and ``n_dropped``; a row that loses every line keeps an empty
     text. Lines are split at \\n alone and joined by it; empty keys never drop. Null text is one empty
-    line and becomes an empty text. Every row is a document of its own, also a repeated one.
+    line and becomes an empty text. Every row is a document of its own, also a repeated one, unless ``doc``
+    names the column of documents' ids (see ``shared_lines``); rows come out one to one either way.
 
     The shared lines are written once. Up to ``broadcast_rows`` of them (32 bytes each) are
     broadcast, more are shuffled; either way only positions to be dropped are then grouped by row
@@ -48,7 +54,7 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", b
     whole = F.coalesce(F.col(text), F.lit(""))
     others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"] or [F.lit(0)]
     rows = docs.withColumns({text: whole, "__t": F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"), F.xxhash64(*others).alias("row"))})
-    shared = stage(shared_lines(docs, min_docs, text), "shared-lines")
+    shared = stage(shared_lines(docs, min_docs, text, doc), "shared-lines")
     found = shared.count()
     if not found:
         out = rows.withColumn("__at", F.lit(None).cast("array<int>"))

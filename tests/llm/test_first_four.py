@@ -127,3 +127,10 @@ def test_line_dedup(spark, side):
         assert {"n_bytes", "shard", "ids", "pos"} <= set(got.columns)
         assert Counter(tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect()) == brute_lines(rows, least)
     assert line_dedup.drop_shared_lines(odd(spark, []), 2).count() == 0
+
+
+def test_lines_of_a_repeated_document_count_once(spark):
+    rows = [(1, "twice held\nonly here")] * 3 + [(2, "twice held\nown")] + [(None, "own")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.drop_shared_lines(df, 2, doc="doc_id")
+    assert Counter(tuple(r) for r in got.select("doc_id", "text", "n_dropped").collect()) == {(1, "only here", 1): 3, (2, "own", 1): 1, (None, "own", 0): 3}
