@@ -26,8 +26,9 @@ class Ppm:
     probability c / (n + d) and the escape to the next shorter context d / (n + d); a context never
     seen costs nothing; after the empty context all 256 bytes are alike. The statistics are frozen,
     so a byte's code length is a function of four bytes. It is laid out as a table over pairs of
-    adjacent bytes, which gives the same figure as walking the tree. Contexts of length 3 are kept where
-    they are made of the ``max_pairs`` most frequent pairs, which bounds the table.
+    adjacent bytes, which gives the same figure as walking the tree. The table has the
+    ``max_pairs`` most frequent pairs; what follows contexts of length 3 with a rarer pair is looked up in
+    sorted arrays, so every context counts.
     """
 
     def __init__(self, samples: dict[str, list[bytes]], max_pairs: int = 2000) -> None:
@@ -49,6 +50,7 @@ class Ppm:
         first = np.r_[pairs // a, a - 1]
         second = np.r_[pairs % a, a - 1]
         short, long, escape = [], [], []
+        self.rare: list[tuple[np.ndarray, ...]] = []  # for each language: grams of four with a rarer pair and their bits, contexts of a rarer pair and their escapes
         for lang in self.languages:
             s = text[lang]
             bits = np.full(a, 8.0)
@@ -62,14 +64,21 @@ class Ppm:
                 tables.append(self._step(counts, np.tile(below, (a, 1)))[0])
             order2 = tables[2].reshape(a, a, a)
             short.append(order2.reshape(-1).astype(np.float32))
-            key, n = np.unique(self.pair[s[:-3] * a + s[1:-2]].astype(np.int64) * p + self.pair[s[2:-1] * a + s[3:]], return_counts=True)
+            grams, n = np.unique(((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:], return_counts=True)
+            after, start, kind = np.unique(grams // a, return_index=True, return_counts=True)
+            times = np.add.reduceat(n, start) if len(n) else n
+            one, two = self.pair[grams // (a * a)].astype(np.int64), self.pair[grams % (a * a)].astype(np.int64)
             c = np.zeros((p, p))
-            c.reshape(-1)[key] = n
+            c[one, two] = n
             c[-1], c[:, -1] = 0, 0
             # a context of three is a pair and the first byte of the next pair
             total, kinds = np.zeros((p, a)), np.zeros((p, a))
-            np.add.at(total.T, first[:-1], c[:, :-1].T)
-            np.add.at(kinds.T, first[:-1], (c[:, :-1] > 0).T)
+            at = self.pair[after // a].astype(np.int64)
+            total[at, after % a], kinds[at, after % a] = times, kind
+            total[-1], kinds[-1] = 0, 0
+            rare, odd = (one == p - 1) | (two == p - 1), at == p - 1
+            cost4 = np.log2(np.repeat(times + kind, kind) / n)
+            self.rare.append((grams[rare], cost4[rare].astype(np.float32), after[odd], np.log2((times + kind) / kind)[odd].astype(np.float32)))
             with np.errstate(divide="ignore", invalid="ignore"):
                 esc = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0)
                 esc[-1] = 0
@@ -112,6 +121,14 @@ class Ppm:
             cost[odd] = self.escape[pair[odd] * a + s[odd + 2]] + self.short[(two[odd + 1] * a) + s[odd + 3]]
         if len(odd := np.nonzero((pair[:-2] == p - 1))[0]):
             cost[odd] = self.short[two[odd + 1] * a + s[odd + 3]]
+        if any(len(x[0]) for x in self.rare) and len(odd := np.nonzero((pair[:-2] == p - 1) | (pair[2:] == p - 1))[0]):
+            three = two[odd].astype(np.int64) * a + s[odd + 2]
+            for k, (grams, bits, after, escapes) in enumerate(self.rare):
+                for keys, asked, known, over in ((after, three, escapes, False), (grams, three * a + s[odd + 3], bits, True)):
+                    if len(keys):
+                        found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                        hit = keys[found] == asked
+                        cost[odd[hit], k] = known[found[hit]] + (0 if over else cost[odd[hit], k])
         ends = np.cumsum([len(t) for _, t in held])
         starts = np.r_[0, ends[:-1]]
         total = np.concatenate([cost, np.zeros((3, cost.shape[1]), np.float32)])

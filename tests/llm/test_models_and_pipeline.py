@@ -46,6 +46,15 @@ def test_code_lengths_are_those_of_the_tree():
         assert row == pytest.approx([plain_bits(samples[x], t) for x in "ab"], rel=1e-5)
 
 
+@pytest.mark.parametrize("max_pairs", [1, 3, 10])
+def test_contexts_of_rare_pairs_count(max_pairs):
+    samples = {"a": [b"the cat sat on the mat", b"The end."], "b": ["le été là-bas".encode(), b"la fin"]}
+    model = language_id.Ppm(samples, max_pairs)
+    texts = [b"the cat", b"THE fin xyz \xff\x00", "été".encode(), b"q", b"the cat sat on the mat " * 40]
+    for row, t in zip(model.bits(texts, block=64), texts, strict=True):
+        assert row == pytest.approx([plain_bits(samples[x], t) for x in "ab"], rel=1e-5)
+
+
 def test_language_id_on_held_out_documents(spark):
     got = queries.op9_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]
