@@ -44,7 +44,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows without a doc_id stay."""
+    """One document of each group of near copies: the one with the smallest doc_id. Rows without a doc_id stay, and so do all rows of that smallest doc_id, where it is repeated."""
     tune(spark)
     near = ngram_join.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
     gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
@@ -52,11 +52,12 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, not even slightly changed."""
+    """Documents that hold no benchmark item, not even slightly changed. Rows of one doc_id go together; a row without one is known by a hash of its text."""
     tune(spark)
-    hits = decontaminate.find_passages(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+    hits = decontaminate.find_passages(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     gone = hits.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return docs.join(gone, key == gone["gone"], "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,3 +168,11 @@ def test_stages_with_odd_rows(spark):
                 assert name == "quality classifier" or n == 0 or out.where("doc_id is null").count() == (name != "benchmark decontamination" or 1)
     near = corpus_pipeline.near_copy_stage(spark, docs, sf)
     assert sorted(r.doc_id for r in near.where("doc_id is not null").collect()) == [1, 2, 3, 3, 5]
+
+
+def test_rows_without_an_id_are_decontaminated(spark):
+    sf = "/root/testdata/sf0.001"
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").collect()), key=len)
+    docs = spark.createDataFrame([(None, f"before {item} after"), (None, "clean"), (None, None), (1, "clean"), (2, item)], "doc_id long, text string")
+    got = corpus_pipeline.decontamination_stage(spark, docs, sf).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in docs.collect() if not (r.text and item in r.text)]))
