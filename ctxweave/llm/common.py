@@ -43,15 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there.
 
+    With ``by``, files lie in folders by these columns, so a filter on them reads no others.
+
     The files outlive the query, as the result may be read at any later time; the folder's owner
     clears it (``ctxweave-stage`` below spark.checkpoint.dir).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ctxweave-stage/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Points of a leaf, queries of a leaf, and the most centres that a ball's cover may need.
-LEAF, QUERY_LEAF, FANOUT = 256, 32, 24
+from .common import stage
+
+#: Points of a leaf, queries of a leaf, and the centres that a ball is split over at most.
+LEAF, QUERY_LEAF, FANOUT = 64, 32, 24
 
 
 def quantized(vector: str | Column, scale: float = 64.0) -> Column:
@@ -22,63 +25,100 @@ def quantized(vector: str | Column, scale: float = 64.0) -> Column:
     return F.when(v.isNotNull() & (F.size(v) > 0) & ~bad, F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-@dataclass
-class Node:
-    """A point's ball: its covering radius reaches every point in rows[low:high] of the tree."""
-
-    center: np.ndarray
-    radius: float
-    low: int
-    high: int
-    children: list[Node] = field(default_factory=list)
-
-
 class CoverTree:
-    """Nested balls around points, each level's covering radius half the one above.
-
-    A ball whose half-radius cover needs more than FANOUT centres, or that holds at most ``leaf`` points,
-    stays a leaf; its points are scored as one block. ``order`` has the points' rows by leaf.
+    """Nested balls around points: each child's ball covers its own points, and its centre is one of them.
+
+    A ball is split by its farthest points in turn until centres cover it within half its radius, or
+    there are FANOUT, or fewer where that would make leaves too small; every point goes to its nearest centre. A ball of at most ``leaf`` points is split only where a quarter of
+    its radius covers some of them (near copies), so that these can be told apart from the others; balls of equal points never are. Node i holds the rows order[low[i]:high[i]]; its children are the nodes
+    from first[i] on, kids[i] of them. ``radius`` is the true distance of its farthest point,
+    ``angle`` the widest angle at the origin between its centre and a point (half a turn where either is zero), ``norm`` its centre's
+    length, ``top`` the length of its longest point.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        self.points, self.leaf = points.astype(np.float64), leaf
+        points = points.astype(np.float64)
+        norms = np.sqrt((points**2).sum(1))
         self.order = np.arange(len(points))
-        self.root = self._build(0, len(points), int(np.argmin(((self.points - self.points.mean(0)) ** 2).sum(1))))
-
-    def _distances(self, rows: np.ndarray, center: int) -> np.ndarray:
-        return np.sqrt(((self.points[rows] - self.points[center]) ** 2).sum(1))
-
-    def _build(self, low: int, high: int, center: int) -> Node:
-        rows = self.order[low:high].copy()
-        near = self._distances(rows, center)
-        node = Node(self.points[center], float(near.max()), low, high)
-        if high - low <= self.leaf or node.radius == 0:
-            return node
-        centers, owner = [center], np.zeros(len(rows), int)
-        while near.max() > node.radius / 2:
-            if len(centers) == FANOUT:
-                return node
-            far = int(rows[near.argmax()])
-            d = self._distances(rows, far)
-            owner[d < near] = len(centers)
-            near = np.minimum(near, d)
-            centers.append(far)
-        at = low
-        self.order[low:high] = rows[np.argsort(owner, kind="stable")]
-        for i, c in enumerate(centers):
-            if n := int((owner == i).sum()):
-                node.children.append(self._build(at, at + n, c))
-                at += n
-        return node
+        own = [int(np.argmin(((points - points.mean(0)) ** 2).sum(1)))]
+        low, high, first, kids, radius, angle = [0], [len(points)], [0], [0], [], []
+        scale = np.where(norms > 0, norms, 1)[:, None]
+        unit = np.where(norms[:, None] > 0, points / scale, np.nan)
+        for i in _counter(own):
+            rows = self.order[low[i] : high[i]].copy()
+            near = np.sqrt(((points[rows] - points[own[i]]) ** 2).sum(1))
+            radius.append(float(near.max()))
+            angle.append(float(np.nan_to_num(np.arccos(np.clip(unit[rows] @ unit[own[i]], -1, 1)), nan=np.pi).max()))
+            if radius[i] == 0:
+                continue
+            if len(rows) <= leaf:
+                centers, owner = _dense(points[rows], rows, radius[i] / 4)
+                if len(centers) < 2:
+                    continue
+                near[:] = 0
+            else:
+                centers, owner = [own[i]], np.zeros(len(rows), int)
+            most = min(FANOUT, len(rows) // leaf + 1)
+            while near.max() > radius[i] / 2 and len(centers) < most:
+                far = int(rows[near.argmax()])
+                d = np.sqrt(((points[rows] - points[far]) ** 2).sum(1))
+                owner[d < near] = len(centers)
+                near = np.minimum(near, d)
+                centers.append(far)
+            self.order[low[i] : high[i]] = rows[np.argsort(owner, kind="stable")]
+            sizes = np.bincount(owner, minlength=len(centers))
+            ends = low[i] + np.cumsum(sizes)
+            first[i], kids[i] = len(own), len(centers)
+            own += centers
+            low += (ends - sizes).tolist()
+            high += ends.tolist()
+            first += [0] * len(centers)
+            kids += [0] * len(centers)
+        self.low, self.high, self.first, self.kids, self.radius = map(np.array, (low, high, first, kids, radius))
+        self.angle = np.array(angle) + 1e-7
+        self.center, self.norm, self.unit = points[own], norms[own], np.nan_to_num(unit[own])
+        self.top = np.array([norms[self.order[a:b]].max() for a, b in zip(low, high, strict=True)])
+
+    def children(self, nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(f, f + n) for f, n in zip(self.first[nodes].tolist(), self.kids[nodes].tolist(), strict=True)])
+
+    def rows(self, nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.order[a:b] for a, b in zip(self.low[nodes].tolist(), self.high[nodes].tolist(), strict=True)])
+
+
+def _dense(points: np.ndarray, rows: np.ndarray, reach: float, least: int = 4) -> tuple[list[int], np.ndarray]:
+    """Centres, and each row's centre: balls of radius ``reach`` with at least ``least`` points, the fullest first, and one for the rest."""
+    size = (points**2).sum(1)
+    near = size[:, None] + size[None, :] - 2 * points @ points.T <= reach * reach
+    centers, owner, left = [], np.full(len(rows), -1), np.ones(len(rows), bool)
+    while left.any():
+        full = (near & left[None, :]).sum(1) * left
+        at = int(full.argmax())
+        mine = near[at] & left if full[at] >= least else left.copy()
+        mine[at] = True
+        owner[mine], left = len(centers), left & ~mine
+        centers.append(int(rows[at]))
+    return centers, owner
+
+
+def _counter(growing: list) -> Iterator[int]:
+    """Positions of a list that grows meanwhile."""
+    i = 0
+    while i < len(growing):
+        yield i
+        i += 1
 
 
 class TopK:
-    """The best k of each query so far, by score, then smaller id; an id counts once for each of its scores."""
+    """The best k of each query so far, by score, then smaller id; an id counts once for each of its scores.
 
-    def __init__(self, ids: np.ndarray, k: int) -> None:
+    ``known`` are scores that each query's k-th best reaches in any case; below them nothing is kept.
+    """
+
+    def __init__(self, ids: np.ndarray, k: int, known: np.ndarray | None = None) -> None:
         self.ids, self.k = ids, k
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
-        self.worst = np.full(len(ids), -np.inf)
+        self.worst = np.full(len(ids), -np.inf) if known is None else known.copy()
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores`` of the queries ``rows`` against the points ``ids``."""
@@ -96,7 +136,7 @@ class TopK:
             first = np.nonzero(np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1])][: len(s)])[0][: self.k]
             self.best[rows[i]] = s[first], d[first]
             if len(first) == self.k:
-                self.worst[rows[i]] = s[first[-1]]
+                self.worst[rows[i]] = max(self.worst[rows[i]], s[first[-1]])
 
 
 def number_type(a: np.ndarray, b: np.ndarray) -> type:
@@ -106,43 +146,114 @@ def number_type(a: np.ndarray, b: np.ndarray) -> type:
 
 
 class Search:
-    """Walks pairs of a query node and a point node, the likeliest first.
-
-    No inner product of such a pair exceeds <q, p> + rq |p| + rp |q| + rq rp for the nodes' centres and
-    radii; a pair below the worst k-th score of the node's queries is left out with all it holds.
+    """Walks a query tree and a point tree together.
+
+    A query node meets an array of point nodes. Of a pair with centres q and p and radii rq and rp no
+    inner product exceeds <q, p> + rq |p| + rp |q| + rq rp, nor half of what the squares of the longest
+    query and the longest point have over that of the gap |q - p| - rq - rp between the balls, nor the product of these lengths and
+    the cosine of the angle left between the two cones (0 at least). Pairs whose bound is
+    below the worst k-th score of the node's queries are left out with all they hold; where the
+    point ball is the wider one it is opened, else the query ball. Leaves are scored by falling bound.
     """
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> None:
-        self.queries, self.tree, self.top = queries, CoverTree(queries, QUERY_LEAF), TopK(query_ids, k)
-        self.pruned = self.scored = 0
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int, tree: CoverTree | None = None, known: np.ndarray | None = None) -> None:
+        self.queries, self.tree, self.top = queries, tree or CoverTree(queries, QUERY_LEAF), TopK(query_ids, k, known)
+        self.pruned = self.scored = self.points_pruned = self.points_scored = 0
 
-    def add(self, points: np.ndarray, ids: np.ndarray) -> None:
-        tree = CoverTree(points)
+    def add(self, points: np.ndarray, ids: np.ndarray, tree: CoverTree | None = None) -> None:
+        asked, tree = self.tree, tree or CoverTree(points)
         kind = number_type(self.queries, points)
         q, p = self.queries.astype(kind), points.astype(kind)
-        todo = [(self._bound(self.tree.root, tree.root), self.tree.root, tree.root)]
+        todo = [(0, np.zeros(1, int))]
         while todo:
-            bound, a, b = todo.pop()
-            rows = self.tree.order[a.low : a.high]
-            if bound < self.top.worst[rows].min():
-                self.pruned += 1
-            elif not a.children and not b.children:
-                cols = tree.order[b.low : b.high]
-                for at in range(0, len(rows), 512):
-                    self.top.add(rows[at : at + 512], q[rows[at : at + 512]] @ p[cols].T, ids[cols])
-                self.scored += 1
+            a, nodes = todo.pop()
+            rows = asked.order[asked.low[a] : asked.high[a]]
+            bound = self._bounds(a, nodes, tree)
+            fit = bound >= self.top.worst[rows].min()
+            self._leave(tree, nodes[~fit], rows)
+            nodes, bound = nodes[fit], bound[fit]
+            open_ = (tree.kids[nodes] > 0) & ((tree.radius[nodes] >= asked.radius[a]) | (asked.kids[a] == 0))
+            if open_.any():
+                todo.append((a, np.concatenate([nodes[~open_], tree.children(nodes[open_])])))
+            elif asked.kids[a] and len(nodes):
+                todo += [(int(c), nodes) for c in asked.children(np.array([a]))]
             else:
-                pairs = [(x, b) for x in a.children] if a.children and (not b.children or a.radius >= b.radius) else [(a, y) for y in b.children]
-                todo += sorted(((self._bound(x, y), x, y) for x, y in pairs), key=lambda t: t[0])
-
-    @staticmethod
-    def _bound(a: Node, b: Node) -> float:
-        m, n = float(np.sqrt(a.center @ a.center)), float(np.sqrt(b.center @ b.center))
-        bound = float(a.center @ b.center) + a.radius * n + b.radius * m + a.radius * b.radius
-        return bound + 1e-9 * (1 + abs(bound) + m * n)  # rounding never prunes
-
-
-def top_k(points: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 8192, query_bytes: int = 16 << 20) -> DataFrame:
+                first = np.argsort(-bound, kind="stable")
+                nodes, bound, at, n = nodes[first], bound[first], 0, 1
+                while at < len(nodes):
+                    if bound[at] < self.top.worst[rows].min():
+                        self._leave(tree, nodes[at:], rows)
+                        break
+                    part = nodes[at : at + n]
+                    cols = tree.rows(part)
+                    live = rows[bound[at] >= self.top.worst[rows]]
+                    for r in range(0, len(live), 512):
+                        for c in range(0, len(cols), 8192):
+                            some = cols[c : c + 8192]
+                            self.top.add(live[r : r + 512], q[live[r : r + 512]] @ p[some].T, ids[some])
+                    self.scored += len(part)
+                    self.points_scored += len(cols) * len(live)
+                    self.points_pruned += len(cols) * (len(rows) - len(live))
+                    at, n = at + n, 2 * n
+
+    def _leave(self, tree: CoverTree, nodes: np.ndarray, rows: np.ndarray) -> None:
+        self.pruned += len(nodes)
+        self.points_pruned += int((tree.high[nodes] - tree.low[nodes]).sum()) * len(rows)
+
+    def _bounds(self, a: int, nodes: np.ndarray, tree: CoverTree) -> np.ndarray:
+        r, m, rp, mp = self.tree.radius[a], self.tree.norm[a], tree.radius[nodes], tree.norm[nodes]
+        inner = tree.center[nodes] @ self.tree.center[a]
+        size = self.tree.top[a] ** 2 + tree.top[nodes] ** 2
+        gap = np.maximum(0, np.sqrt(np.maximum(0, m * m + mp * mp - 2 * inner)) - r - rp)
+        turn = np.arccos(np.clip(tree.unit[nodes] @ self.tree.unit[a], -1, 1)) - self.tree.angle[a] - tree.angle[nodes]
+        wide = self.tree.top[a] * tree.top[nodes] * np.maximum(0, np.cos(np.clip(turn, 0, np.pi)))
+        bound = np.minimum(np.minimum(inner + r * mp + rp * m + r * rp, (size - gap * gap) / 2), wide)
+        return bound + 1e-7 * (1 + size)  # rounding never prunes
+
+
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest type that holds them."""
+    most = int(np.abs(v).max(initial=0))
+    return v.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
+
+
+def indexed(points: DataFrame, block_rows: int, first_blocks: int, growth: int) -> tuple[DataFrame, int]:
+    """Every point of ``points`` (vec_id, v) in blocks of one dimension with their cover trees, and the number of rounds.
+
+    One row a block: round, block (pickled ids, points and tree). A hash deals blocks to rounds: the first
+    gets about ``first_blocks``, each later one ``growth`` times as many as all before it.
+    """
+    blocks = max(1, -(-points.count() // block_rows))
+    shares = [1.0]
+    while shares[0] * blocks > first_blocks:
+        shares.insert(0, shares[0] / (1 + growth))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}
+        task, made = TaskContext.get().partitionId(), 0
+
+        def block(d: int) -> pa.RecordBatch:
+            nonlocal made
+            ids, vs = zip(*held.pop(d), strict=True)
+            v, made = np.array(vs, np.int64), made + 1
+            turn = ((task * 1_000_003 + made) * 0x9E3779B97F4A7C15 >> 11) % (1 << 32) / (1 << 32)
+            data = pickle.dumps((np.array(ids, np.int64), _narrow(v), CoverTree(v)), 5)
+            return pa.RecordBatch.from_pydict({"round": pa.array([next(i for i, x in enumerate(shares) if turn < x)], pa.int32()), "block": pa.array([data], pa.binary())})
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = held.setdefault(len(v), {})
+                rows[i, tuple(v)] = True
+                if len(rows) >= block_rows:
+                    yield block(len(v))
+        for d in list(held):
+            yield block(d)
+
+    index = points.coalesce(blocks).mapInArrow(run, "round int, block binary")
+    return stage(index, "points", ["round"]), len(shares)
+
+
+def top_k(points: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 8192, query_bytes: int = 16 << 20, first_blocks: int = 64, growth: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k greatest inner products, ties to the smaller vec_id.
 
     ``points`` and ``queries`` hold vec_id (long) and v (array<long>, see ``quantized``). Rows with a null
@@ -150,54 +261,58 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
     another dimension. With fewer than k candidates a query gets them all; a query id with
     several vectors gets the best k over them. An empty side gives no rows.
 
-    Every point is indexed, in blocks of ``block_rows``; queries are broadcast in groups of at most
-    about ``query_bytes``, each of which makes one pass over the points. A task sends at most k rows
-    for each query of the group.
+    Every point is indexed once, in blocks of ``block_rows`` with a tree each, and every query, in groups of at most
+    about ``query_bytes`` with a tree each. A group is broadcast and walked against the blocks in rounds
+    (see ``indexed``). After each round but the last one a query's k-th score so far goes along, so all tasks of the next round prune
+    by it and send only what reaches it: about k * ``growth`` rows a query and round at any size, not k a task.
     """
     spark = points.sparkSession
-    clean = lambda df: df.select(F.col("vec_id").cast("long"), "v").where("vec_id is not null and v is not null").distinct()
-    asked = clean(queries)
+    clean = lambda df: df.select(F.col("vec_id").cast("long"), "v").where("vec_id is not null and v is not null")
+    asked = clean(queries).distinct()
     sizes = asked.agg(F.count(F.lit(1)), F.sum(F.size("v"))).first()
     groups = max(1, -(-8 * (sizes[1] or 0) // query_bytes))
-    rows = points.select(F.col("vec_id").cast("long"), "v").where("vec_id is not null and v is not null")
-    rows = rows.coalesce(max(1, -(-rows.count() // block_rows)))
+    asked = stage(asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), "queries", ["group"])
+    index, rounds = indexed(clean(points), block_rows, first_blocks, growth)
     out = None
     for g in range(groups):
         by_dim: dict[int, tuple[list, list]] = {}
-        for i, v in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).toLocalIterator():
+        for i, v in asked.where(F.col("group") == g).select("vec_id", "v").collect():
             ids, vs = by_dim.setdefault(len(v), ([], []))
             ids.append(i)
             vs.append(v)
-        told = spark.sparkContext.broadcast({d: (np.array(ids, np.int64), np.array(vs, np.int64)) for d, (ids, vs) in by_dim.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            search = {d: Search(vs, ids, k) for d, (ids, vs) in told.value.items()}
-            held: dict[int, dict] = {d: {} for d in search}
-
-            def flush(d: int) -> None:
-                if held[d]:
-                    ids, vs = zip(*((i, v) for i, v in held[d]), strict=True)
-                    search[d].add(np.array(vs, np.int64), np.array(ids, np.int64))
-                    held[d] = {}
-
-            for batch in batches:
-                for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if len(v) in held:
-                        held[len(v)][i, tuple(v)] = True
-                        if len(held[len(v)]) >= block_rows:
-                            flush(len(v))
-            for d, s in search.items():
-                flush(d)
-                for at in range(0, len(s.top.ids), 1000):
-                    part = range(at, min(at + 1000, len(s.top.ids)))
-                    n = [len(s.top.best[i][0]) for i in part]
-                    if sum(n):
-                        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(s.top.ids[at : at + 1000], n), "vec_id": np.concatenate([s.top.best[i][1] for i in part]), "score": np.concatenate([s.top.best[i][0] for i in part])})
-
-        found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
+        trees = {d: (np.array(vs, np.int64), np.array(ids, np.int64), CoverTree(np.array(vs, np.int64), QUERY_LEAF)) for d, (ids, vs) in by_dim.items()}
+        known: dict[int, float] = {}
+        best = None
+        for r in range(rounds):
+            told = spark.sparkContext.broadcast({d: (*t, np.array([known.get(i, -np.inf) for i in t[1].tolist()])) for d, t in trees.items()})
+
+            def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+                search = {d: Search(q, ids, k, tree, seen) for d, (q, ids, tree, seen) in told.value.items()}
+                for batch in batches:
+                    for row in batch.column(0):
+                        ids, v, tree = pickle.loads(row.as_py())
+                        if v.shape[1] in search:
+                            search[v.shape[1]].add(v, ids, tree)
+                for s in search.values():
+                    for at in range(0, len(s.top.ids), 1000):
+                        part = s.top.best[at : at + 1000]
+                        n = [len(x) for x, _ in part]
+                        if sum(n):
+                            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(s.top.ids[at : at + 1000], n), "vec_id": np.concatenate([x for _, x in part]), "score": np.concatenate([x for x, _ in part])})
+
+            found = index.where(F.col("round") == r).select("block").mapInArrow(run, "query_id long, vec_id long, score long")
+            best = _ranked(found if best is None else best.select("query_id", "vec_id", "score").unionByName(found), k)
+            if r < rounds - 1:
+                best = stage(best, "best")
+                known = {i: float(s) for i, s in best.where(F.col("rank") == k).select("query_id", "score").collect()}
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best different rows of each query: one shuffle, by query."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return out.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.repartition("query_id").distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: top_k() over ``embeddings``, for DuckDB.

@@ -64,21 +64,58 @@ def test_an_id_takes_one_place_for_equal_scores():
     assert [x.tolist() for x in top.best[0]] == [[9, 8, 7], [1, 2, 3]]
 
 
+def checked_tree(pts, leaf):
+    tree = cover_tree.CoverTree(pts, leaf)
+    assert sorted(tree.order.tolist()) == list(range(len(pts)))
+    for i in range(len(tree.low)):
+        rows = tree.order[tree.low[i] : tree.high[i]]
+        assert np.sqrt(((pts[rows] - tree.center[i]) ** 2).sum(1)).max() == pytest.approx(tree.radius[i])
+        assert np.sqrt((pts[rows] ** 2).sum(1)).max() == pytest.approx(tree.top[i])
+        if tree.kids[i]:
+            c = tree.children(np.array([i]))
+            assert tree.low[c[0]] == tree.low[i] and tree.high[c[-1]] == tree.high[i] and (tree.high[c[:-1]] == tree.low[c[1:]]).all()
+        else:
+            assert len(rows) <= leaf or tree.radius[i] == 0
+    return tree
+
+
 def test_tree_prunes_and_covers():
     pts = np.array([v for _, v in vectors(4000, 4, 1, 2)], np.int64)
-    tree = cover_tree.CoverTree(pts)
-    todo = [tree.root]
-    while todo:
-        node = todo.pop()
-        d = np.sqrt(((pts[tree.order[node.low : node.high]] - node.center) ** 2).sum(1))
-        assert d.max(initial=0) <= node.radius + 1e-9
-        assert not node.children or (node.children[0].low, node.children[-1].high) == (node.low, node.high)
-        todo += node.children
+    checked_tree(pts, 64)
     search = cover_tree.Search(pts[:64], np.arange(64), 5)
     search.add(pts, np.arange(4000))
     assert search.pruned > 0
 
 
+def test_trees_of_64_dimensions_have_levels_and_prune_copies():
+    """Vectors like those of the table, all of one length, with a group of near copies that is large enough to fill every k."""
+    r = np.random.default_rng(8)
+    unit = lambda x: np.floor(64 * x / np.sqrt((x**2).sum(1, keepdims=True))).astype(np.int64)
+    pts = np.concatenate([unit(r.normal(size=(3000, 64))), unit(r.normal(size=(1, 64)) + r.normal(0, 0.02, (300, 64)))])
+    tree, asked = checked_tree(pts, cover_tree.LEAF), np.arange(0, 3300, 20)
+    assert tree.kids[0] and tree.kids[1:].any()
+    search = cover_tree.Search(pts[asked], asked, 20)
+    assert search.tree.kids[0]
+    search.add(pts, np.arange(3300))
+    assert search.pruned > 0 and search.points_pruned > 15 * 500
+    want = brute_top([*enumerate(pts.tolist())], [(int(a), pts[a].tolist()) for a in asked], 20)
+    assert sorted((int(q), r + 1, int(i), int(x)) for q, (s, d) in zip(asked, search.top.best, strict=True) for r, (x, i) in enumerate(zip(s, d, strict=True))) == want
+
+
+def test_rounds_share_what_they_know(spark):
+    points = vectors(2000, 8, 3)
+    rows = spark.createDataFrame(points, "vec_id long, v array<long>")
+    got = cover_tree.top_k(rows, rows.where("vec_id % 20 = 0"), 20, block_rows=100, query_bytes=4000, first_blocks=3, growth=2)
+    assert sorted(map(tuple, got.collect())) == brute_top(points, [p for p in points if p[0] % 20 == 0], 20)
+
+
+def test_op5_table_is_indexed_in_levels(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", cover_tree.quantized("embedding").alias("v")).where("v is not null").collect()
+    pts, ids = np.array([r.v for r in rows], np.int64), np.array([r.vec_id for r in rows])
+    search = cover_tree.Search(pts[ids % 20 == 0], ids[ids % 20 == 0], 20)
+    assert search.tree.kids[0] and checked_tree(pts, cover_tree.LEAF).kids[1:].any()
+
+
 PASSAGE = "a passage of well over fifty bytes that several documents share with each other"
 DUPES = [(1, PASSAGE + " one"), (2, "two " + PASSAGE), (3, "x" * 200), (4, "y" + "x" * 90), (5, ""), (6, None), (7, "short"), (8, "short"), (9, PASSAGE + " one"), (9, PASSAGE + " one"), (10, "é" * 60 + PASSAGE[:49]), (11, "é" * 60), (12, PASSAGE * 3), (0, "né" + PASSAGE[5:60]), (13, "z" * 49), (14, "z" * 49)]
 
