@@ -267,7 +267,7 @@ def test_decontamination(spark):
     r = np.random.default_rng(4)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz     "))
     noise = lambda n: "".join(r.choice(letters, n))
-    items = [(i, noise(120 + 20 * i)) for i in range(8)] + [(90, None), (91, ""), (92, "tiny"), (None, noise(150))]
+    items = [(i, noise(120 + 20 * i)) for i in range(8)] + [(90, None), (91, ""), (92, "?tiny?"), (None, noise(150))]
     docs, want = [], {}
     for k in range(60):
         t = noise(400)
@@ -280,13 +280,13 @@ def test_decontamination(spark):
             t = t[:200] + "".join(x) + t[200:]
             want[k, i] = e
         docs.append((k, t))
-    docs += [(100, None), (101, ""), (102, items[0][1]), (102, items[0][1]), (103, "é" + items[-1][1]), (None, items[1][1]), (104, "very long " * 20000 + items[2][1])]
+    docs += [(100, None), (101, ""), (102, items[0][1]), (102, items[0][1]), (103, "é" + items[-1][1]), (None, items[1][1]), (104, "very long " * 20000 + items[2][1]), (105, "a ?TINY? one")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     found = decontaminate.find_passages(rows_of(spark, docs), bench, item_bytes=400).collect()
     got = {(x.doc_id, x.item_id): x for x in found}
     assert all(got[k].edits <= e for k, e in want.items())
     rest = set(got) - set(want)
-    assert rest == {(102, 0), (103, None), (None, 1), (104, 2)} and len(found) == len(want) + 5
+    assert rest == {(102, 0), (103, None), (None, 1), (104, 2), (105, 92)} and len(found) == len(want) + 6
     assert (got[104, 2].start, got[104, 2].stop) == (200_000, 200_000 + 160)
     assert decontaminate.find_passages(rows_of(spark, []), bench).count() == 0
     assert decontaminate.find_passages(rows_of(spark, docs), bench.where("false")).count() == 0
@@ -304,3 +304,80 @@ def test_alignment_against_plain_edit_distance():
             d.append(row)
         best, got = min(d[-1]), decontaminate.alignment(a, t, 4)
         assert (got[0] if got else 9) == (best if best <= 4 else 9)
+
+
+def nearest(item, text):
+    """Edits, start and stop of the stretch of text nearest to item; the first of equally near ones."""
+    d = [(0, j) for j in range(len(text) + 1)]
+    for a in item:
+        row = [(d[0][0] + 1, d[0][1])]
+        for j, b in enumerate(text):
+            row.append(min((d[j][0] + (a != b), d[j][1]), (d[j + 1][0] + 1, d[j + 1][1]), (row[j][0] + 1, row[j][1])))
+        d = row
+    stop = min(range(len(d)), key=lambda j: (d[j], j))
+    return (*d[stop], stop)
+
+
+def brute_passages(docs, items, rate=0.08):
+    fold = lambda t: (t or "").encode().translate(decontaminate.FOLD)
+    out = []
+    for i, t in docs:
+        for k, x in items:
+            e, start, stop = nearest(fold(x), fold(t))
+            if x and t and e <= int(rate * len(fold(x))):
+                out.append((i, k, start, stop, e))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("window", "expand"), [(1 << 18, 1 << 22), (300, 500)])
+def test_passages_against_brute_force(spark, monkeypatch, window, expand):
+    """Items of all lengths, with repeated grams, changed by up to and beyond their budget, in short and long texts."""
+    monkeypatch.setattr(decontaminate, "WINDOW", window)
+    monkeypatch.setattr(decontaminate, "EXPAND", expand)
+    r = np.random.default_rng(9)
+    noise = lambda n: "".join(r.choice(list("abcde fgh"), n))
+    items = [noise(n) for n in (1, 5, 9, 12, 13, 20, 26, 40, 75, 110)] + ["-" * 60, "ab" * 40, "-" * 30 + noise(30), "é" * 20]
+    docs = [noise(n) for n in (0, 3, 12, 40)]
+    for k in range(40):
+        x = list(items[k % len(items)])
+        for _ in range(r.integers(0, 2 + len(x) // 10)):
+            at = r.integers(len(x))
+            x[at : at + r.integers(0, 2)] = "#" * r.integers(0, 2)
+        docs.append(noise(r.integers(0, 200)) + "".join(x) + noise(r.integers(0, 200)))
+    docs += ["-" * 400, "ab" * 150 + "-" * 61 + "ba" * 50, "x" + "-" * 29 + "#" + "-" * 40]
+    docs, items = list(enumerate(docs)), list(enumerate(items))
+    want = brute_passages(docs, items)
+    found = decontaminate.Items([i for i, _ in items], [t.encode().translate(decontaminate.FOLD) for _, t in items], 10, 0.08).find([t.encode() for _, t in docs])
+    assert {(d, i, e, a) for d, i, a, _, e in found} == {(d, i, e, a) for d, i, a, _, e in want} and len(found) == len(want)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_passages(df, bench, item_bytes=200).collect()
+    assert sorted(((x.doc_id, x.item_id, x.start, x.stop, x.edits) for x in got), key=str) == want
+    clean = decontaminate.without_passages(df, bench.where("length(text) > 10"), item_bytes=200).collect()
+    assert [x.doc_id for x in clean] == [d for d, _ in docs if not any(w[0] == d and len(items[w[1]][1]) > 10 for w in want)]
+
+
+def test_passages_in_a_text_of_one_byte_take_bounded_memory():
+    import tracemalloc
+
+    items = decontaminate.Items([1, 2, 3], [b"-" * 300, b"-" * 200 + b"!" + b"-" * 99, b"=" * 50], 10, 0.08)
+    tracemalloc.start()
+    got = items.find([b"-" * 80_000, b"-" * (1 << 20), b"x"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 1, 0, 300, 0), (0, 2, 0, 299, 1), (1, 1, 0, 300, 0), (1, 2, 0, 299, 1)]
+    assert peak < 300 << 20
+
+
+def test_op8_query_against_brute_force(spark):
+    """Every document of the smallest table against some items, by plain edit distance; and exact copies of all items."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id): (r.start, r.stop, r.edits) for r in queries.op8_decontamination(spark, SF).collect()}
+    fold = lambda t: (t or "").encode().translate(decontaminate.FOLD)
+    exact = {(d, i): (a, a + len(fold(x)), 0) for d, t in docs for i, x in items if fold(x) and (a := fold(t).find(fold(x))) >= 0}
+    assert exact and {k: v for k, v in got.items() if not v[2]} == exact
+    hit, texts = {i for _, i in got}, {d for d, _ in got}
+    some = [(i, x) for i, x in items if i in sorted(hit)[:3]]
+    short = [(d, t) for d, t in docs if d in texts and len(t or "") < 3000][:6]
+    want = brute_passages(short, some)
+    assert [x for x in want] == sorted(((d, i, *got[d, i]) for d, i in got if d in dict(short) and i in dict(some)), key=str)
