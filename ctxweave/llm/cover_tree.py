@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .common import stage
 
 #: Points of a leaf, queries of a leaf, and the centres that a ball is split over at most.
-LEAF, QUERY_LEAF, FANOUT = 64, 32, 24
+LEAF, QUERY_LEAF, FANOUT = 256, 64, 24
 
 
 def quantized(vector: str | Column, scale: float = 64.0) -> Column:
