@@ -5,34 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u long, v long); component is its smallest node.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most, and nothing is
+    Rounds go on until nothing changes, which takes about the logarithm of the longest chain. Each is written to the shared
+    folder, so a lost executor costs one round at most; the round before is then removed. Nothing is
     collected but a count and a checksum. Self links and repeated links do no harm. A node with very
     many links costs one record for each task in the aggregations, and its join is split by AQE.
     """
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     state = _state(now)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = stage(small, "links")
+        last, now = now, stage(small, "links")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
