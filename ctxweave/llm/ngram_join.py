@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +183,47 @@ def _join_blocks(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_bytes: int = 16 << 20) -> DataFrame:
+#: 64-bit words of a set's sketch, and classes of one prefix token that are compared pair by pair.
+SKETCH_WORDS, COMPARED = 8, 512
+
+
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """Parities: bit b tells whether an odd number of the keys falls on b, so two sets differ in at least as many keys as sketches in bits."""
+    h = _mix(keys * np.uint64(_R))
+    odd = np.bincount((h % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def plausible(token: np.ndarray, cls: np.ndarray, n: np.ndarray, shared: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (class, class) that join those classes of each token whose sizes and sketches do not rule a link out.
+
+    Rows are sorted by token. Of sets with n keys, ``shared`` of which other documents hold, a link needs
+    ceil(percent (n1 + n2) / (100 + percent)) common keys, so all others, the unshared ones among them, are few.
+    """
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    for d in range(1, len(token)):
+        i = np.nonzero(token[:-d] == token[d:])[0]
+        if not len(i):
+            break
+        j = i + d
+        total, most = n[i] + n[j], np.maximum(n[i], n[j])
+        odd = total - 2 * (-(-percent * total // (100 + percent))) - (total - shared[i] - shared[j])
+        fit = (100 * (total - most) >= percent * most) & (np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= odd)
+        left.append(i[fit])
+        right.append(j[fit])
+    i, j, least = np.concatenate(left), np.concatenate(right), np.arange(len(token))
+    while True:
+        low, before = np.minimum(least[i], least[j]), least.copy()
+        np.minimum.at(least, i, low)
+        np.minimum.at(least, j, low)
+        if (least == before).all():
+            break
+    at = np.nonzero(least != np.arange(len(token)))[0]
+    edges = np.unique(np.stack([cls[at], cls[least[at]]], 1), axis=0)
+    return edges[:, 0], edges[:, 1]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for each row of ``docs`` (doc_id, text) with a doc_id.
 
     Two documents link where 100 * intersection >= ``percent`` * union of their sets of word shingles
@@ -191,9 +232,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
 
     Equal sets become one class. Shingles that no other document holds only count; a class whose
     other shingles are too few for a link is done. The rest are joined: a linked pair shares a token
-    in its prefixes (rarest first), so families are the components of classes that share one. Each
+    in its prefixes (rarest first) and differs in few keys, so families are the components of classes that share one and whose
+    sketches differ little enough; unrelated documents with a common phrase don't become one family. Tokens of more than
+    COMPARED classes join these without a look at sketches. Each
     family is cut into blocks of about ``block_bytes``, by size beyond one, and each pair of blocks whose sizes
     can link is one task's prefix-tree join, which yields groups, never pairs. No family or block is dropped.
+
+    A very long text is one chunk's keys in one task, and later one set; sketches rule out pairs of sets up to about 1,500
+    shingles, beyond which sharing a prefix token makes a family.
     """
     found = stage(shared_keys(docs, lambda t: shingles(t, words), percent / 100), "shingles")
     held = found.where("keys is not null and n > 0")
@@ -211,8 +257,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
             yield pa.RecordBatch.from_pydict({"cls": np.concatenate(cls) if cls else np.zeros(0, np.int64), "token": np.concatenate(token) if token else np.zeros(0, np.int64)})
 
     prefix = stage(sets.mapInArrow(prefixes, "cls long, token long"), "prefixes")
-    stars = prefix.groupBy("token").agg(F.min("cls").alias("v"), F.max("cls").alias("w")).where("v < w").select("token", "v")
-    family = components(prefix.join(stars, "token").where("cls <> v").select(F.col("cls").alias("u"), "v"))
+    stars = prefix.groupBy("token").agg(F.min("cls").alias("v"), F.max("cls").alias("w"), F.count(F.lit(1)).alias("c")).where("v < w").select("token", "v", "c")
+    meeting = prefix.join(stars, "token")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.frombuffer(k, np.uint64) for k in b.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"cls": b.column("cls"), "n": b.column("n"), "shared": pa.array([len(k) for k in keys], pa.int64()), "bits": pa.array([sketch(k).tobytes() for k in keys], pa.binary())})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            token = held.column("token").to_numpy()
+            last = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last token's rows may go on
+            if last:
+                yield from links(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and len(held):
+            yield from links(held)
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, cls, n, shared = (rows.column(c).to_numpy() for c in ("token", "cls", "n", "shared"))
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        u, v = plausible(token, cls, n, shared, bits, percent)
+        yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+    few = meeting.where(F.col("c") <= COMPARED).select("token", "cls").join(sets.select("cls", "n", "keys").mapInArrow(sketches, "cls long, n long, shared long, bits binary"), "cls")
+    near = few.repartition("token").sortWithinPartitions("token").mapInArrow(compare, "u long, v long")
+    family = components(near.unionByName(meeting.where((F.col("c") > COMPARED) & (F.col("cls") != F.col("v"))).select(F.col("cls").alias("u"), "v")))
     rows = sets.join(family.withColumnRenamed("node", "cls").withColumnRenamed("component", "fam"), "cls")
     # a family beyond one block is dealt by size band, as sizes a band apart or less alone can link, and by a hash within
     place = rows.select("cls", "fam", F.floor(F.log(max(100 / percent, 1.0001) * (1 + 1e-9), "n")).cast("int").alias("band"), F.length("keys").alias("size"))

@@ -19,7 +19,7 @@ HEAVY = 32
 #: Class of a heavy key; of others the class is the binary logarithm of their number of documents, rounded down.
 HEAVY_CLASS = 255
 #: Tokens have fewer bits; above them is the number of a document's earlier keys that are cut to the same token.
-NUMBER_BIT = 51
+NUMBER_BIT = 53
 
 Extract = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -39,8 +39,12 @@ def tokens(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets for the keys of ``docs``: a power of two that grows with the input, so that a bucket stays some MB."""
-    return 1 << max(10, min(18, (input_bytes(docs) // (1 << 21)).bit_length()))
+    """Buckets for the keys of ``docs``: a power of two that grows with the input.
+
+    A bucket stands for the keys of 1 to 2 MB of text up to 2 TB; beyond, there are 2^20 and it grows (about 100 MB at 100 TB),
+    as a chunk has about 2^21 keys and more buckets would mean a row for each of them.
+    """
+    return 1 << max(10, min(20, (input_bytes(docs) // (1 << 21)).bit_length()))
 
 
 def _chunk(chunk: int, rows: list[tuple[int, int]], keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -135,8 +139,8 @@ def shared_keys(docs: DataFrame, extract: Extract, least: float = 0.0, buckets:
     Keys are counted whole, then cut to 32 bits and the bucket's number, at least 42 bits in all; a
     document's keys that are cut alike stay as many, told apart from bit NUMBER_BIT on. Two shuffles: keys
     with a 16-bit reference by bucket, 6 bytes each, and the shared ones back by chunk. A key that a
-    third of all rows hold costs HEAVY - 1 references a chunk at most. Buckets grow with the input,
-    so that a bucket's task holds some tens of MB at any size.
+    third of all rows hold costs HEAVY - 1 references a chunk at most. Buckets grow with the input
+    (see ``bucket_count``). A very long text is a chunk of its own, held by one task as its keys, 10 bytes each.
     """
     buckets = buckets or bucket_count(docs)
 

@@ -218,6 +218,44 @@ def test_near_duplicates(spark, words, percent, block):
     assert ngram_join.near_duplicates(rows_of(spark, []), words, percent).count() == 0
 
 
+def test_documents_with_a_common_phrase_are_no_family(spark):
+    """Unrelated sets that share a prefix token aren't joined by it; sets that may link always are."""
+    r = np.random.default_rng(14)
+    base = [r.integers(0, 1 << 42, 300, dtype=np.uint64) for _ in range(40)]
+    near = []
+    for x in base[:20]:
+        y = x.copy()
+        y[: r.integers(0, 40)] = r.integers(0, 1 << 42, dtype=np.uint64)
+        near.append(np.unique(y))
+    sets = base + near
+    n = np.array([len(x) for x in sets])
+    bits = np.array([ngram_join.sketch(x) for x in sets])
+    u, v = ngram_join.plausible(np.zeros(len(sets), int), np.arange(len(sets)), n, n, bits, 85)
+    groups = ngram_join.Groups(len(sets))
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        groups.join(a, b)
+    assert all(groups.root(i) == i for i in range(40))
+    for i in range(20):
+        both = len(np.intersect1d(sets[i], sets[40 + i]))
+        assert 100 * both < 85 * (n[i] + n[40 + i] - both) or groups.root(40 + i) == i
+
+
+@pytest.mark.parametrize("compared", [0, 3])
+def test_near_duplicates_of_frequent_tokens(spark, monkeypatch, compared):
+    monkeypatch.setattr(ngram_join, "COMPARED", compared)
+    rows = near_rows()
+    got = ngram_join.near_duplicates(rows_of(spark, rows).repartition(3), 4, 85, 4000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    r = np.random.default_rng(15)
+    words = [f"w{k}" for k in r.integers(0, 10**7, 120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:118_000])), (3, " ".join(words[:60_000])), (4, "short text of few words"), (5, " ".join(words[::-1]))]
+    got = ngram_join.near_duplicates(rows_of(spark, rows), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
+
+
 def test_near_duplicates_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_ngram_join(spark, SF).collect()}
