@@ -26,7 +26,10 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network doesn't reject. It learns like op10_quality: from labelled rows outside the held-out fold (see quality.train for the bound)."""
+    """Documents that the quality network doesn't reject. It learns like op10_quality: from labelled rows outside the held-out fold (see quality.train for the bound).
+
+    Every row is judged by its own text: equal texts alike, null as an empty text, which has a score too.
+    """
     tune(spark)
     model = quality_model(spark, sf_dir)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
@@ -34,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that LINE_DOCS documents share; n_chars follows. A document that loses every line stays, with an empty text."""
+    """Texts without the lines that LINE_DOCS rows share; n_chars follows. A row that loses every line stays, with an empty text; null stays null. A repeated row counts as often as it stands there."""
     tune(spark)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
     held = docs.select(F.struct(*others).alias("row"), F.col("text").alias("before"), "text")
@@ -44,24 +47,34 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows without a doc_id stay, and so do all rows of that smallest doc_id, where it is repeated."""
+    """One row of each group of near copies: that with the smallest doc_id, and of several with this id any one.
+
+    Every row is a document of its own, known by a key that it gets here, so rows of one doc_id are compared
+    with each other like any others: a repeated row goes, a different text under the same id stays. Rows without a
+    doc_id take part and yield to those with one. Rows without words (null, empty, white space) link with nothing and stay.
+    """
     tune(spark)
-    near = ngram_join.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    held = stage(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("id")), "rows")
+    near = ngram_join.near_duplicates(held.select(F.col("id").alias("doc_id"), "row.text"), SHINGLE_WORDS, SIMILARITY).select(F.col("doc_id").alias("id"), "component_id")
+    order = F.struct(F.col("row.doc_id").isNull().alias("without"), F.col("row.doc_id").alias("doc_id"), "id")
+    members = near.join(held.select("id", order.alias("order")), "id")
+    first = members.groupBy("component_id").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("first.id").alias("kept"))
+    gone = members.join(first, "component_id").where("id <> kept").select("id")
+    return held.join(gone, "id", "left_anti").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, not even slightly changed. Rows of one doc_id go together; a row without one is known by a hash of its text."""
+    """Rows whose text holds no benchmark item, not even slightly changed. Each is judged by its own text alone, whatever its doc_id; rows with a null or empty text stay."""
     tune(spark)
-    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
-    hits = decontaminate.find_passages(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = hits.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, key == gone["gone"], "left_anti")
+    return decontaminate.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document in sequences of at most 2048 ids (see packing.pack_documents), with each piece's ids."""
+    """The pieces of every document in sequences of at most 2048 ids (see packing.pack_documents), with each piece's ids.
+
+    Every row is packed, a repeated one as often as it stands there and one without a doc_id under null; a
+    null or empty text is one piece with the end id alone. Columns other than doc_id and text don't go on.
+    """
     tune(spark)
     return packing.pack_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
