@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes are compared with A-Z in lower case.
@@ -147,24 +146,55 @@ class Ppm:
         return [self.languages[b] if h else "und" for b, h in zip(best, has, strict=True)], [float(x) if h else 0.0 for x, h in zip(share, has, strict=True)]
 
 
+#: A longer text is learned from so many stretches spread evenly over it.
+STRETCHES = 16
+
+
+def stretches(text: Column, max_bytes: int) -> Column:
+    """The text, or where it has more than ``max_bytes`` bytes STRETCHES stretches of it from its start to its end, a line each, that keep to them."""
+    size = max(1, max_bytes // (4 * STRETCHES))
+    step = (F.length(text) - size) / (STRETCHES - 1)
+    some = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: text.substr((i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.array_join(some, "\n"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int, max_bytes: int) -> list:
-    """At most ``per_label`` rows (doc_id, label, text) of each label among those with ``learn``, of at most ``max_bytes`` each.
+    """At most ``per_label`` rows (doc_id, label, text) of each label among those with ``learn``, long texts by their ``stretches``.
+
+    ``docs`` has doc_id and text, ``labels`` doc_id and ``label``; it may be ``docs`` itself, where label and text belong
+    together. Documents are chosen by a hash of doc_id, so the same ones however the tables are laid out. An id with
+    several labels counts for each; of several texts of an id (and label) the one with the least hash is read.
+    Null ids and labels and empty texts are left out.
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and ``label`` (it may be the same table). Rows are chosen by a
-    hash of doc_id, so the same ones however the tables are laid out. Only keys are joined and ranked; the
-    texts of the chosen rows alone are read out, by a broadcast of their ids, and reach the driver.
+    Labels are counted, then ids whose hash is low enough for half as many again as asked are taken, and only
+    where too few of these have a text is that share raised. So nothing is ranked or sorted by label, at most about 1.5 *
+    ``per_label`` ids a label are broadcast, and as many cut texts reach the driver.
     """
-    told = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("string").alias("__label"))
-    sized = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes)).select("doc_id")
-    w = Window.partitionBy("__label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = told.join(sized, "doc_id", "left_semi").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_label).select("doc_id", "__label")
-    ids = docs.sparkSession.createDataFrame(chosen.distinct().collect(), "doc_id long, __label string")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "__label", "text").collect()
-    return sorted({(r[0], r[1], r[2]) for r in texts if r[2]})
+    spark, same = docs.sparkSession, labels is docs
+    told = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("__label"))
+    read = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(label).cast("string").alias("__label")] if same else []))
+    turn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    known = {r[0]: r[1] for r in told.groupBy("__label").agg(F.approx_count_distinct("doc_id")).collect()}
+    share, got = {x: min(1.0, 1.5 * per_label / max(n, 1)) for x, n in known.items()}, []
+    while share:
+        limits = spark.createDataFrame(sorted(share.items()), "__label string, __share double")
+        ids = told.join(F.broadcast(limits), "__label").where(turn < F.col("__share")).select("doc_id", "__label").distinct().collect()
+        chosen = spark.createDataFrame(ids, "doc_id long, __label string")
+        texts = read.join(F.broadcast(chosen), ["doc_id", "__label"] if same else ["doc_id"]).groupBy("doc_id", "__label")
+        rows = texts.agg(F.min(F.struct(F.xxhash64("text"), stretches(F.col("text"), max_bytes).alias("text"))).alias("t")).select("doc_id", "__label", turn, "t.text").collect()
+        again = {}
+        for x in share:
+            mine = sorted((r for r in rows if r[1] == x), key=lambda r: (r[2], r[0]))[:per_label]
+            if len(mine) < per_label and share[x] < 1:
+                again[x] = min(1.0, 4 * share[x])
+            else:
+                got += [(r[0], r[1], r[3]) for r in mine]
+        share = again
+    return sorted(got)
 
 
 def train(docs: DataFrame, learn: Column, per_language: int = 300, max_bytes: int = 1 << 15) -> Ppm:
-    """A model of every non-null ``lang`` of the rows with ``learn``, from at most ``per_language`` rows each."""
+    """A model of every non-null ``lang`` of the rows with ``learn``, from at most ``per_language`` rows each (see ``training_rows``)."""
     samples: dict[str, list[bytes]] = {}
     for _, lang, text in training_rows(docs, docs, "lang", learn, per_language, max_bytes):
         samples.setdefault(lang, []).append(text.encode())
@@ -174,8 +204,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = 300, max_bytes: in
 def identify(docs: DataFrame, model: Ppm) -> DataFrame:
     """``lang_pred`` and ``score`` (0 to 1) from the whole ``text`` of each row, besides doc_id and ``held_out``.
 
-    Null text or none with a letter: ``und``, 0. Only the text is read for a prediction. Rows map one
-    to one. The model (about 40 MB for 1,500 byte pairs and four languages) is broadcast; its size
+    Null text or none with a letter: ``und``, 0. Of languages with equal code lengths the first by name wins. Only the text is read for a prediction. Rows map one
+    to one, repeated ones too; other columns of ``docs`` are ignored. The model (about 40 MB for 1,500 byte pairs and four languages) is broadcast; its size
     depends on the training bound, not on the corpus.
     """
     told = docs.sparkSession.sparkContext.broadcast(model)

@@ -168,7 +168,7 @@ class ByteCnn:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 1000, max_bytes: int = 1 << 14, steps: int = 600) -> ByteCnn:
-    """A model from at most ``per_label`` rows of each ``quality`` (0 or 1) in ``labels`` among those with ``learn``, of at most ``max_bytes`` each.
+    """A model from at most ``per_label`` rows of each ``quality`` (0 or 1) in ``labels`` among those with ``learn``, long texts by stretches (see ``training_rows``, also for repeated ids and contradicting labels).
 
     Without rows of both labels the untrained weights' unit is set to the share of label 1.
     """
