@@ -15,13 +15,25 @@ SPACE = " \t\n\x0b\f\r"
 
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.trim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
+    bare = F.trim(line, F.lit(SPACE))
+    # lower() is much the faster one, and in a line of ASCII alone it changes the same letters
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def _hashes(line: Column) -> Column:
-    """128 bits of a line's key as two longs; null where the key is empty."""
-    key = line_key(line)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
+def _hash(key: Column) -> Column:
+    """128 bits of a line's key as two longs."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
+
+
+def _filled(key: Column) -> Column:
+    return F.when(key != "", _hash(key))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines joined without those at the sorted positions ``gone``, in time that grows with both alone."""
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(-1)), gone).alias("a"), F.concat(gone, F.array(F.size(lines))).alias("b"))
+    kept = F.transform(F.array(lines), lambda ls: F.flatten(F.transform(bounds, lambda z: F.slice(ls, z["a"] + 2, z["b"] - z["a"] - 1))))
+    return F.array_join(F.element_at(kept, 1), "\n")
 
 
 def shared_lines(docs: DataFrame, min_docs: int, text: str = "text", doc: str | None = None) -> DataFrame:
@@ -32,7 +44,8 @@ def shared_lines(docs: DataFrame, min_docs: int, text: str = "text", doc: str |
     so a line that a third of all rows share costs one record for each task. Only where ids are repeated
     or null are lines first grouped by hash and id, which spreads such a line by its ids.
     """
-    hashes = F.array_distinct(F.array_compact(F.transform(F.split(F.col(text), "\n", -1), _hashes)))
+    keys = F.array_distinct(F.transform(F.split(F.col(text), "\n", -1), line_key))  # strings go through a hash set, structs would be compared one by one
+    hashes = F.transform(F.filter(keys, lambda k: k != ""), _hash)
     lines = docs.select(F.explode(hashes).alias("h"))
     if doc and not docs.groupBy(F.col(doc).alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or d is null").isEmpty():
         lines = docs.where(F.col(doc).isNotNull()).select(F.explode(hashes).alias("h"), F.col(doc).alias("d")).distinct()
@@ -47,6 +60,9 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", b
     line and becomes an empty text. Every row is a document of its own, also a repeated one, unless ``doc``
     names the column of documents' ids (see ``shared_lines``); rows come out one to one either way.
 
+    A text of very many lines takes time in proportion (and to sort its keys); its lines are in memory at once, as the text is.
+    Columns of map or variant type take no part in telling repeated rows apart, which costs evenness only.
+
     The shared lines are written once. Up to ``broadcast_rows`` of them (32 bytes each) are
     broadcast, more are shuffled; either way only positions to be dropped are then grouped by row
     (its text and other columns, so copies are spread), and rows with nothing to drop meet an empty side.
@@ -60,11 +76,11 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", b
         out = rows.withColumn("__at", F.lit(None).cast("array<int>"))
     else:
         side = F.broadcast(shared) if found <= broadcast_rows else shared
-        lines = rows.select("__t", F.posexplode(F.transform(F.split(F.col(text), "\n", -1), _hashes)).alias("__pos", "__h")).where("__h is not null").select("__t", "__pos", F.col("__h.a").alias("a"), F.col("__h.b").alias("b"))
+        lines = rows.select("__t", F.posexplode(F.transform(F.split(F.col(text), "\n", -1), lambda x: _filled(line_key(x)))).alias("__pos", "__h")).where("__h is not null").select("__t", "__pos", F.col("__h.a").alias("a"), F.col("__h.b").alias("b"))
         drops = lines.join(side, ["a", "b"], "left_semi").groupBy("__t").agg(F.sort_array(F.collect_set("__pos")).alias("__at"))
         out = rows.join(drops, "__t", "left")
     lines, gone = F.split(F.col(text), "\n", -1), F.col("__at")
-    kept = F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    kept = F.when(gone.isNull(), F.col(text)).otherwise(_without(lines, gone))
     return out.select(*[c for c in docs.columns if c not in (text, "n_lines", "n_dropped")], kept.alias(text), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
