@@ -134,5 +134,17 @@ def grade(score: str | Column) -> Column:
 
 
 def cut_bytes(text: str | Column, most: int) -> Column:
-    """At most ``most`` characters; never within one."""
-    return F.substring(col(text), 1, most)
+    """The longest beginning of at most ``most`` UTF-8 bytes that ends with a whole character."""
+    raw = col(text).cast("binary")
+    # a character has up to four bytes, and those after its first are 10xxxxxx
+    ends = F.filter(F.sequence(F.lit(most), F.lit(max(0, most - 3)), F.lit(-1)), lambda m: ~F.hex(F.substring(raw, m + 1, 1)).rlike("^[89AB]"))
+    return F.when(F.length(raw) <= most, col(text)).otherwise(F.substring(raw, 1, F.get(ends, F.lit(0))).cast("string"))
+
+
+def without_positions(parts: Column, gone: Column) -> Column:
+    """The elements of ``parts`` but those at the positions ``gone``, joined by line ends; in time that grows with both alone."""
+    at = F.array_sort(gone)
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(-1)), at).alias("a"), F.concat(at, F.array(F.size(parts))).alias("b"))
+    # the array is bound to a variable, so it is made once
+    kept = F.transform(F.array(parts), lambda ls: F.flatten(F.transform(bounds, lambda z: F.slice(ls, z["a"] + 2, z["b"] - z["a"] - 1))))
+    return F.array_join(F.element_at(kept, 1), "\n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import is_filler, prune_words, raw_words, trimmed
+from ..functions.text import is_filler, prune_words, raw_words, trimmed, without_positions
 from ..functions.tokens import TokenCounter, bytes4
 from .chunks import per_context, is_protected
 
@@ -71,7 +71,7 @@ def prune(chunks: DataFrame, threshold: float = 0.3, counter: TokenCounter = byt
     """
     drops = line_scores(chunks).where(F.col("score") < threshold).groupBy("ctx_id", "pos").agg(F.collect_set("line_no").alias("__drop"))
     out = chunks.withColumn("__protected", is_protected()).join(drops, ["ctx_id", "pos"], "left")
-    kept = F.array_join(F.filter(F.split("content", "\n"), lambda x, i: F.col("__drop").isNull() | ~F.array_contains("__drop", i)), "\n")
+    kept = F.when(F.col("__drop").isNull(), F.col("content")).otherwise(without_positions(F.split("content", "\n"), F.col("__drop")))
     text = F.when(F.col("__protected"), F.col("content")).when(trimmed(kept) == "", PLACEHOLDER).otherwise(kept)
     out = out.withColumn("content", text)
     return out.withColumn("token_count", F.when(F.col("__protected"), F.col("token_count")).otherwise(counter(F.col("content")))).select(*chunks.columns)

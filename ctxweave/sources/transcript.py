@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,47 +52,43 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
 def shortened(output: Column, counter: TokenCounter = bytes4) -> Column:
     """A tool's output cut near OUTPUT_TOKENS tokens, with a note of its whole size, where it has more.
 
-    It is cut after the first character that ends a multiple of 64 bytes with that many tokens; the cut
-    is found on bytes, so only outputs that are too long leave the JVM.
+    It is cut after the first character that ends a multiple of 64 bytes with that many tokens, four
+    bytes each; where no character ends at one, only white space at its end goes.
     """
-    total = counter(output)
+    total, raw = counter(output), output.cast("binary")
+    least = -(-(4 * OUTPUT_TOKENS - 3) // 64) * 64
+    places = F.when(F.length(raw) >= least, F.sequence(F.lit(least), F.length(raw), F.lit(64)))
+    # a character ends before every byte that isn't 10xxxxxx
+    ends = F.filter(places, lambda m: (m == F.length(raw)) | ~F.hex(F.substring(raw, m + 1, 1)).rlike("^[89AB]"))
+    cut = F.coalesce(F.substring(raw, 1, F.get(ends, F.lit(0))).cast("string"), output)
+    return F.when(total > OUTPUT_TOKENS, F.concat(F.regexp_replace(cut, r"(?U)\s+\z", ""), F.lit(" … [output truncated, "), total, F.lit(" tokens]"))).otherwise(output)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        def run(t: str | None) -> str | None:
-            if t is None:
-                return None
-            size = 0
-            for i, ch in enumerate(t):
-                size += len(ch.encode())
-                if size % 64 == 0 and -(-size // 4) >= OUTPUT_TOKENS:
-                    return t[: i + 1].rstrip()
-            return t.rstrip()
 
-        return texts.map(run)
-
-    long = total > OUTPUT_TOKENS
-    return F.when(long, F.concat(cut(F.when(long, output)), F.lit(" … [output truncated, "), total, F.lit(" tokens]"))).otherwise(output)
+_ITEM = "array<struct<block_no:int,role:string,content:string,id:string,name:string,input:string>>"
 
 
 def normalize(parsed: DataFrame, counter: TokenCounter = bytes4) -> DataFrame:
     """The chunk table of parsed transcripts: system texts first, each text block a chunk, each tool call one with its result.
 
-    The last result of an id counts; results without a call go.
+    The last result of an id counts; results without a call go. Entries are looked at twice: once for what they say or call,
+    once for results, which are joined to the calls by id.
     """
-    rows = parsed.where("valid AND role IS NOT NULL")
-    each = rows.select("ctx_id", "entry_no", "role", F.posexplode_outer("blocks").alias("block_no", "b"), "content", F.col("blocks").isNotNull().alias("is_blocks"))
+    told = F.expr("valid AND role IS NOT NULL")
+    each = parsed.select("ctx_id", "entry_no", F.posexplode(F.expr("CASE WHEN valid AND role IS NOT NULL THEN blocks END")).alias("block_no", "b"))
     results = each.where("b.type = 'tool_result' AND b.content IS NOT NULL").groupBy("ctx_id", F.col("b.tool_use_id").alias("id")).agg(F.max_by("b.content", F.struct("entry_no", "block_no")).alias("output"))
-    place = [F.col("entry_no"), F.coalesce("block_no", F.lit(0)).alias("block_no")]
-    plain = rows.where("blocks IS NULL AND (role = 'system' OR content <> '')").select("ctx_id", "entry_no", F.lit(0).alias("block_no"), "role", "content")
     joined = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n\n")
-    system = rows.where("blocks IS NOT NULL AND role = 'system'").select("ctx_id", "entry_no", F.lit(0).alias("block_no"), "role", joined.alias("content")).where("content <> ''")
-    texts = each.where("is_blocks AND role <> 'system' AND b.type = 'text' AND b.text <> ''").select("ctx_id", *place, "role", F.col("b.text").alias("content"))
-    calls = each.where("is_blocks AND role <> 'system' AND b.type = 'tool_use'").select("ctx_id", *place, F.col("b.id").alias("id"), F.col("b.name").alias("name"), F.col("b.input").alias("input"))
+    one = lambda content: F.array(F.struct(F.lit(0), F.col("role"), content, F.lit(None), F.lit(None), F.lit(None))).cast(_ITEM)
+    none = F.array().cast(_ITEM)
+    placed = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda x: ((x["b"]["type"] == "text") & (x["b"]["text"] != "")) | (x["b"]["type"] == "tool_use"))
+    call = lambda x, field: F.when(x["b"]["type"] == "tool_use", x["b"][field])
+    many = F.transform(placed, lambda x: F.struct(x["i"], F.col("role"), x["b"]["text"], call(x, "id"), call(x, "name"), call(x, "input"))).cast(_ITEM)
+    plain, system = F.col("blocks").isNull(), F.col("role") == "system"
+    items = F.when(~told, none).when(plain, F.when(system | (F.col("content") != ""), one(F.col("content"))).otherwise(none)).when(system, F.when(joined != "", one(joined)).otherwise(none)).otherwise(many)
+    rows = parsed.select("ctx_id", "entry_no", F.inline(items))
     given = F.when(F.octet_length("input") > INPUT_BYTES, F.concat(F.substring("input", 1, INPUT_CHARS), F.lit("…"))).otherwise(F.col("input"))
     merged = F.concat(F.lit("[Tool: "), "name", F.lit("] Input: "), given, F.lit(" Output: "), shortened(F.coalesce("output", F.lit(NO_RESULT)), counter))
-    tools = calls.join(results, ["ctx_id", "id"], "left").select("ctx_id", "entry_no", "block_no", F.lit("tool_interaction").alias("role"), merged.alias("content"))
-    every = plain.unionByName(system).unionByName(texts).unionByName(tools)
+    is_call = F.col("name").isNotNull()
+    every = rows.join(results, ["ctx_id", "id"], "left").select("ctx_id", "entry_no", "block_no", F.when(is_call, F.lit("tool_interaction")).otherwise(F.col("role")).alias("role"), F.when(is_call, merged).otherwise(F.col("content")).alias("content"))
     pos = F.row_number().over(Window.partitionBy("ctx_id").orderBy((F.col("role") != "system").cast("int"), "entry_no", "block_no")) - 1
     out = every.withColumn("pos", pos.cast("long")).withColumns({"chunk_index": F.col("pos"), "token_count": counter(F.col("content"))})
     out = out.withColumn("relevance_score", default_relevance(F.col("role"), F.col("pos"), size_of_context()))
