@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,12 +29,27 @@ def bpe(ranks_path: str, pattern: str, special: dict[str, int] | None = None) ->
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+        count_one = (lambda t: len(encoding.encode(t, allowed_special="all"))) if special else lambda t: len(encoding.encode_ordinary(t))
         for part in parts:
-            yield part.fillna("").map(lambda t: len(encoding.encode(t, allowed_special="all")))
+            yield part.fillna("").map(count_one)
 
     return count
 
 
+#: How byte-level vocabularies of this kind cut a text before they merge bytes.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def public_bpe(name: str = "byte_bpe_50k.tiktoken") -> TokenCounter:
+    """A counter by a public vocabulary file in the folder CTXWEAVE_TOKENIZERS, or of the package ``public_tokenizers``."""
+    folder = os.environ.get("CTXWEAVE_TOKENIZERS")
+    if folder:
+        return bpe(os.path.join(folder, name), BYTE_LEVEL)
+    import public_tokenizers
+
+    return bpe(public_tokenizers.path(name), BYTE_LEVEL)
+
+
 def word_estimate(n_words: Column) -> Column:
     """Tokens of so many words, at three words to four tokens."""
     return F.round(n_words / F.lit(0.75)).cast("long")

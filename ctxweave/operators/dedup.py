@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +35,18 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.clip(np.sum(a[:n] * b[:n], dtype=np.float32) / (na * nb), -1, 1))
 
 
+def cosine_rows(vectors: list[np.ndarray], block: int = 256) -> Iterator[np.ndarray]:
+    """For each vector its cosine with all; vectors of one length as products of ``block`` rows with the whole matrix."""
+    if len({len(v) for v in vectors}) > 1:
+        yield from (np.array([cosine(a, b) for b in vectors], np.float32) for a in vectors)
+        return
+    m = np.stack(vectors) if vectors else np.zeros((0, 0), np.float32)
+    norm = np.sqrt((m * m).sum(1, dtype=np.float32))
+    for at in range(0, len(m), block):
+        size = norm[at : at + block, None] * norm[None, :]
+        yield from np.clip(np.divide(m[at : at + block] @ m.T, size, out=np.zeros_like(size), where=size > 0), -1, 1)
+
+
 def sentences(text: str) -> list[str]:
     pieces = (s.strip() for line in text.split("\n") for s in line.split(". "))
     return [s for s in pieces if len(s.encode()) > 5]
@@ -42,25 +57,31 @@ def resolve(texts: list[str], tokens: list[int], provider: EmbeddingProvider, th
 
     Pairs are met in order; of two alike the one with more tokens stays (the earlier on a tie). A chunk
     dropped while it is the first of the pairs goes on dropping others, as pairs are only skipped
-    before that.
+    before that. With ``shared_vocabulary`` sentences are compared by vectors over all chunks of the context and all their
+    sentences, else by vectors of their own.
     """
     vectors = [np.asarray(v, np.float32) for v in provider.embed(texts)]
     if len(vectors) != len(texts):
         raise ValueError(f"{len(vectors)} vectors for {len(texts)} chunks")
     gone: set[int] = set()
     added: dict[int, list[str]] = {}
-    for i in range(len(texts)):
+    own: list[np.ndarray] = []
+    first: dict[int, int] = {}
+    for i, alike_to in enumerate(cosine_rows(vectors)):
         if i in gone:
             continue
-        for j in range(i + 1, len(texts)):
-            if j in gone or cosine(vectors[i], vectors[j]) < threshold:
+        for j in (np.nonzero(alike_to[i + 1 :] >= threshold)[0] + i + 1).tolist():
+            if j in gone:
                 continue
             keep, drop = (i, j) if tokens[i] >= tokens[j] else (j, i)
             parts = sentences(texts[drop])
             if len(parts) > 1:
                 if shared_vocabulary:
-                    own = [np.asarray(v, np.float32) for v in provider.embed([*texts, *parts])]
-                    alike = [cosine(v, own[keep]) for v in own[len(texts) :]]
+                    if not own:  # all chunks and all their sentences, once
+                        every = [sentences(t) for t in texts]
+                        first = dict(zip(range(len(texts)), accumulate([len(texts), *(len(x) for x in every)])))
+                        own = [np.asarray(v, np.float32) for v in provider.embed([*texts, *(s for x in every for s in x)])]
+                    alike = [cosine(v, own[keep]) for v in own[first[drop] : first[drop] + len(parts)]]
                 else:
                     alike = [cosine(np.asarray(v, np.float32), vectors[keep]) for v in provider.embed(parts)]
                 added.setdefault(keep, []).extend(s for s, x in zip(parts, alike, strict=True) if x < NOVEL)

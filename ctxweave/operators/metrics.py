@@ -46,6 +46,12 @@ def last_request(log: DataFrame) -> DataFrame:
     return log.agg(F.max_by(F.struct("model", "original_tokens", "optimized_tokens", "latency_ms"), "request_id").alias("r")).select("r.*")
 
 
+def after_reset(log: DataFrame, resets: DataFrame) -> DataFrame:
+    """The requests since the last reset: those with a greater request_id than any of ``resets``; all of them without one."""
+    last = resets.agg(F.max("request_id").alias("__reset"))
+    return log.join(F.broadcast(last), F.col("__reset").isNull() | (F.col("request_id") > F.col("__reset"))).drop("__reset")
+
+
 def snapshot(log: DataFrame) -> DataFrame:
     """One row with all figures, models and strategies as maps."""
     models = model_metrics(log).agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct("requests", "tokens_saved", "saved_usd")))).alias("by_model"))

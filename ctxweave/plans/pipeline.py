@@ -16,8 +16,9 @@ from ..operators.chunks import with_zones
 from ..operators.dedup import dedup_exact, dedup_semantic
 from ..operators.prune import prune
 from ..operators.structural import structural
-from ..operators.summarize import summarize
-from ..sources.providers import EmbeddingProvider, LlmProvider
+from ..operators.summarize import RECENT, summarize
+from ..sources.config import Config, chosen
+from ..sources.providers import EmbeddingProvider, LlmProvider, embedding_provider, llm_provider
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class PipelineConfig:
     dedup_threshold: float = 0.85
     prune_threshold: float = 0.3
     llm_provider: LlmProvider | None = None
+    recent_turns: int = RECENT
 
 
 class Strategy(Protocol):
@@ -45,7 +47,7 @@ STRATEGIES: dict[str, Strategy] = {
     "structural": lambda df, c: structural(df, c.query, c.counter),
     "dedup": _dedup,
     "prune": lambda df, c: prune(df, c.prune_threshold, c.counter),
-    "summarize": lambda df, c: summarize(df, c.llm_provider, c.counter),
+    "summarize": lambda df, c: summarize(df, c.llm_provider, c.counter, c.recent_turns),
 }
 PRESETS = {"safe": ["bookend"], "balanced": ["bookend", "structural"], "aggressive": ["bookend", "structural", "dedup", "prune", "summarize"]}
 
@@ -95,11 +97,33 @@ def compress(chunks: DataFrame, budget: int, query: str | None = None, config: P
 
 
 def explain_steps(chunks: DataFrame, strategies: list[str], config: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """step, strategy, before_tokens, after_tokens over all contexts, for each strategy in turn."""
-    out, now = None, chunks
-    for step, name in enumerate(resolve(strategies)):
-        after = STRATEGIES[name](now, config)
-        total = lambda df, c: df.agg(F.coalesce(F.sum("token_count"), F.lit(0).cast("long")).alias(c))
-        row = total(now, "before_tokens").join(total(after, "after_tokens"), F.lit(True)).select(F.lit(step).alias("step"), F.lit(name).alias("strategy"), "before_tokens", "after_tokens")
-        out, now = row if out is None else out.unionByName(row), after
-    return out
+    """step, strategy, before_tokens, after_tokens over all contexts, for each strategy in turn.
+
+    Each strategy runs once, over what the one before left, which is kept (in memory and on disk) meanwhile.
+    """
+    total = lambda df: df.agg(F.coalesce(F.sum("token_count"), F.lit(0))).first()[0]
+    kept, rows = [chunks.persist()], []
+    try:
+        tokens = [total(chunks)]
+        for step, name in enumerate(resolve(strategies)):
+            kept.append(STRATEGIES[name](kept[-1], config).persist())
+            tokens.append(total(kept[-1]))
+            rows.append((step, name, tokens[-2], tokens[-1]))
+    finally:
+        for df in kept:
+            df.unpersist()
+    return chunks.sparkSession.createDataFrame(rows, "step int, strategy string, before_tokens long, after_tokens long")
+
+
+def configured(c: Config, recent: int = RECENT) -> PipelineConfig:
+    """What a settings file says about the strategies; what it leaves open is the default."""
+    default = PipelineConfig()
+    return PipelineConfig(
+        embedding_provider=embedding_provider(c.dedup_provider), dedup_threshold=chosen(None, c.dedup_threshold, default.dedup_threshold), prune_threshold=chosen(None, c.prune_threshold, default.prune_threshold),
+        llm_provider=llm_provider(c.llm_provider, c.llm_model), recent_turns=chosen(None, c.recent_turns, recent),
+    )
+
+
+def optimize_configured(chunks: DataFrame, c: Config, strategies: list[str] | None = None, preset: str | None = None, budget: int | None = None) -> DataFrame:
+    """``optimize`` with a settings file's strategies, budget and thresholds where the call gives none."""
+    return optimize(chunks, chosen(strategies, None if preset else c.strategies, None), preset, chosen(budget, c.budget, None), configured(c))

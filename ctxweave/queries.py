@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text
+from .functions import text, tokens
 from .functions.pricing import PRICES
 from .operators import bookend, budget, chunks, compaction, dedup, diff, duplication, health, metrics, prune, structural, summarize, tfidf
 from .plans import pipeline
-from .sources import formats, transcript
+from .sources import formats, state, transcript
 from .sources.tables import conversations, documents, request_log, table
 from .streaming.jobs import optimize_requests
 
@@ -152,9 +152,21 @@ def recommendations(spark, d):
     return health.analyze(documents(spark, d)).select("ctx_id", F.array_join("recommendations", "; ").alias("advice"))
 
 
-@query()
+_REPORT = """total_tokens long, chunk_count long, dead_zone struct<tokens:long,chunks:long,ratio:double,score:long>, duplication struct<duplicate_tokens:long,pairs:long,ratio:double,score:long>,
+budget struct<budget:long,utilization:double,score:long>, health_score long, recommendations array<string>"""
+
+
+@query(from_chunks(CONV, """SELECT ctx_id, total_tokens, n_chunks AS chunk_count, dead_zone_tokens, dead_zone_chunks, round(dead_zone_ratio, 6) AS dead_zone_ratio, dead_zone_score, duplicate_tokens, duplicate_pairs,
+round(duplicate_ratio, 6) AS duplicate_ratio, duplication_score, budget, round(utilization, 6) AS utilization, budget_score, health_score, advice FROM health""", HEALTH))
 def health_json(spark, d):
-    return health.to_json(health.analyze(conversations(spark, d)))
+    """The report as JSON, read back field by field."""
+    r = health.to_json(health.analyze(conversations(spark, d))).select("ctx_id", F.from_json("json", _REPORT).alias("r")).select("ctx_id", "r.*")
+    out = r.select(
+        "ctx_id", "total_tokens", "chunk_count", F.col("dead_zone.tokens").alias("dead_zone_tokens"), F.col("dead_zone.chunks").alias("dead_zone_chunks"), F.col("dead_zone.ratio").alias("dead_zone_ratio"), F.col("dead_zone.score").alias("dead_zone_score"),
+        F.col("duplication.duplicate_tokens").alias("duplicate_tokens"), F.col("duplication.pairs").alias("duplicate_pairs"), F.col("duplication.ratio").alias("duplicate_ratio"), F.col("duplication.score").alias("duplication_score"),
+        F.col("budget.budget").alias("budget"), F.col("budget.utilization").alias("utilization"), F.col("budget.score").alias("budget_score"), "health_score", F.array_join("recommendations", "; ").alias("advice"),
+    )
+    return rounded(out, "dead_zone_ratio", "duplicate_ratio", "utilization")
 
 
 CONVERSATION = "bool_and(role IN ('system', 'user', 'assistant')) OVER (PARTITION BY ctx_id)"
@@ -319,6 +331,36 @@ def dedup_semantic(spark, d):
     return shown(dedup.dedup_semantic(documents(spark, d), threshold=0.85))
 
 
+class FirstLetters:
+    """Vectors that SQL can make too: how many words begin with each letter."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[sum(w[:1] == chr(97 + k) for w in words) for k in range(26)] for words in (t.lower().split(" ") for t in texts)]
+
+
+def _letters(column: str) -> str:
+    return f"list_transform(range(26), lambda k: len(list_filter(string_split(lower({column}), ' '), lambda w: w[1] = chr((97 + k)::INTEGER)))::DOUBLE)"
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"(CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) ELSE 0 END)"
+
+
+@query(f"""WITH t AS (SELECT doc_id // 2 AS ctx_id, doc_id % 2 AS pos, coalesce(text, '') AS content, ceil(strlen(coalesce(text, '')) / 4.0)::BIGINT AS tokens FROM documents),
+v AS (SELECT *, {_letters('content')} AS vec FROM t),
+pr AS (SELECT a.ctx_id, a.tokens >= b.tokens AS first_stays, {_cosine('a.vec', 'b.vec')} >= 0.9 AS alike FROM v a JOIN v b ON a.ctx_id = b.ctx_id AND a.pos = 0 AND b.pos = 1),
+st AS (SELECT v.*, coalesce(alike, false) AS alike, coalesce(alike AND (first_stays <> (pos = 0)), false) AS dropped FROM v LEFT JOIN pr USING (ctx_id)),
+se AS (SELECT ctx_id, vec, list_filter(list_transform(flatten(list_transform(string_split(content, chr(10)), lambda x: string_split(x, '. '))), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: strlen(x) > 5) AS parts FROM st WHERE dropped),
+un AS (SELECT s.ctx_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k, len(parts) AS n, o.vec AS kept FROM se s JOIN st o ON o.ctx_id = s.ctx_id AND NOT o.dropped),
+ex AS (SELECT ctx_id, string_agg(part, '. ' ORDER BY k) AS extra FROM (SELECT *, {_letters('part')} AS pv FROM un WHERE n > 1) WHERE {_cosine('pv', 'kept')} < 0.7 GROUP BY ctx_id),
+fin AS (SELECT st.ctx_id, content || coalesce(chr(10) || chr(10) || '[merged from duplicate]: ' || extra, '') AS content, row_number() OVER (PARTITION BY st.ctx_id ORDER BY pos) - 1 AS pos FROM st LEFT JOIN ex USING (ctx_id) WHERE NOT dropped)
+SELECT ctx_id, pos::BIGINT AS pos, content, ceil(strlen(content) / 4.0)::BIGINT AS token_count FROM fin""")
+def dedup_semantic_pairs(spark, d):
+    """Every two neighbouring documents a context: one of two alike goes, and its sentences that are new join the other."""
+    rows = table(spark, d, "documents").select(F.expr("doc_id div 2").alias("ctx_id"), (F.col("doc_id") % 2).alias("pos"), F.lit("document").alias("role"), F.col("text").alias("content"))
+    return dedup.dedup_semantic(chunks.build_chunks(rows), FirstLetters(), 0.9).select("ctx_id", "pos", "content", "token_count")
+
+
 _ORDER = "'created_at', '2024-01-01', 'metadata', named_struct('k', 1), 'id', o_orderkey, 'uuid', 'x', 'total', cast(o_totalprice as string), 'body', named_struct('status', o_orderstatus)"
 
 
@@ -340,6 +382,30 @@ def structural_markdown(spark, d):
     return table(spark, d, "nation").select("n_nationkey", structural.compressed(doc, "Budgets?").alias("content"))
 
 
+_DEEP = """'data', named_struct('k', named_struct('deeper', named_struct('fields', named_struct('x', 1, 'y', 2), 'list', array(1, 2, 3), 'status', o_orderstatus)), 'ref', '123e4567-e89b-12d3-a456-426614174000', 'updated_at', 'x'), 'meta', array(1)"""
+
+
+@query("""SELECT o_orderkey, '```json' || chr(10) || '{' || chr(10) || '  "k": {' || chr(10) || '    "deeper": {' || chr(10) || '      "fields": "{...2 fields}",' || chr(10) || '      "list": "[...3 items]",' || chr(10) || '      "status": "' || o_orderstatus || '"'
+|| chr(10) || '    }' || chr(10) || '  }' || chr(10) || '}' || chr(10) || '```' AS content FROM orders""")
+def structural_json_depth(spark, d):
+    """A wrapper that is taken off, a field that holds a UUID, and what lies too deep."""
+    return table(spark, d, "orders").select("o_orderkey", structural.compressed(F.expr(f"to_json(named_struct({_DEEP}))")).alias("content"))
+
+
+def _braces(head: str, tag: str, lines: int) -> Column:
+    return F.concat(F.lit(f"```{tag}\n{head} "), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit("() {\n"), F.lit("\n".join(f"  x({i});" for i in range(lines))), F.lit("\n}\nlast();\n```"))
+
+
+@query("""SELECT n_nationkey, 'js' AS tag, '```js' || chr(10) || 'function ' || lower(replace(n_name, ' ', '_')) || '() {' || chr(10) || '    /* ... (24 lines) */' || chr(10) || '}' || chr(10) || 'last();' || chr(10) || '```' AS content FROM nation
+UNION ALL SELECT n_nationkey, 'rust', '```rust' || chr(10) || 'pub fn ' || lower(replace(n_name, ' ', '_')) || '() {' || chr(10) || '    /* ... (30 lines) */' || chr(10) || '}' || chr(10) || 'last();' || chr(10) || '```' FROM nation
+UNION ALL SELECT n_nationkey, 'short', '```ts' || chr(10) || 'function ' || lower(replace(n_name, ' ', '_')) || '() {' || chr(10) || '  x(0);' || chr(10) || '}' || chr(10) || 'last();' || chr(10) || '```' FROM nation""")
+def structural_braces(spark, d):
+    """Functions of languages with braces; short code stays."""
+    kinds = [("js", _braces("function", "js", 24)), ("rust", _braces("pub fn", "rs", 30)), ("short", _braces("function", "ts", 1))]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("tag"), c.alias("code")) for k, c in kinds])).alias("e")
+    return table(spark, d, "nation").select("n_nationkey", each).select("n_nationkey", "e.tag", structural.compressed(F.col("e.code")).alias("content"))
+
+
 SAFE = f"{BOOKEND}, {zoned('(SELECT * EXCLUDE (attention_zone) FROM placed)', 'safe')}"
 
 
@@ -365,7 +431,9 @@ def compress(spark, d):
     return shown(pipeline.compress(conversations(spark, d), LIMIT))
 
 
-@query()
+@query(from_chunks(CONV, """SELECT * FROM (SELECT 0 AS step, 'bookend' AS strategy, (SELECT sum(token_count) FROM chunks)::BIGINT AS before_tokens, (SELECT sum(token_count) FROM placed)::BIGINT AS after_tokens
+UNION ALL SELECT 1, 'dedup', (SELECT sum(token_count) FROM placed)::BIGINT, (SELECT sum(token_count) FROM ded)::BIGINT UNION ALL SELECT 2, 'prune', (SELECT sum(token_count) FROM ded)::BIGINT, (SELECT sum(token_count) FROM pru)::BIGINT)""", f"""{BOOKEND},
+ded AS (SELECT * EXCLUDE (dk) REPLACE (row_number() OVER (PARTITION BY ctx_id ORDER BY pos) - 1 AS pos) FROM (SELECT *, row_number() OVER (PARTITION BY ctx_id, content ORDER BY pos) AS dk FROM placed) WHERE dk = 1), {prune_sql('ded', 'pru', 0.3)}"""))
 def pipeline_steps(spark, d):
     return pipeline.explain_steps(conversations(spark, d), ["bookend", "dedup", "prune"])
 
@@ -382,12 +450,33 @@ def diff_removed(spark, d):
     return diff.compressed_and_removed(before, budget.truncate_to_budget(before, LIMIT)).where("after_tokens is null").drop("after_tokens")
 
 
-@query()
+def side_sql(source: str, name: str) -> str:
+    """The health report of the chunks in ``source``, its columns called by ``name``."""
+    return f"""{name} AS (SELECT ctx_id, total_tokens AS {name}_tokens, n_chunks AS {name}_messages, dead_zone_tokens AS {name}_dead_zone_tokens, duplicate_tokens AS {name}_duplicate_tokens, health_score AS {name}_health_score
+FROM (WITH source AS (SELECT * FROM {source}), {HEALTH.replace('FROM chunks', 'FROM source')} SELECT * FROM health))"""
+
+
+@query(from_chunks(CONV, "SELECT *, round((after_tokens - before_tokens) / before_tokens::DOUBLE * 100, 6) AS token_change_pct, after_health_score - before_health_score AS health_score_delta FROM before JOIN after USING (ctx_id)", f"{CUT}, {side_sql('chunks', 'before')}, {side_sql('cut', 'after')}"))
 def diff_summary(spark, d):
     before = conversations(spark, d)
     return rounded(diff.diff_summary(before, budget.truncate_to_budget(before, LIMIT)), "token_change_pct")
 
 
+@query("""WITH t AS (SELECT doc_id AS ctx_id, coalesce(text, '') AS b0, 'x ' || coalesce(text, '') AS b1, CASE WHEN doc_id % 3 = 0 THEN 'gone ' || coalesce(text, '') WHEN doc_id % 3 = 1 THEN coalesce(text, '') || ' and more' ELSE 'x ' || left(coalesce(text, ''), 90) || '.' END AS a FROM documents),
+f AS (SELECT *, starts_with(a, left(b0, 80)) OR starts_with(b0, left(a, 80)) AS fit0, starts_with(a, left(b1, 80)) OR starts_with(b1, left(a, 80)) AS fit1 FROM t)
+SELECT ctx_id, 0::BIGINT AS pos_before, 'document' AS role, ceil(strlen(b0) / 4.0)::BIGINT AS before_tokens, CASE WHEN fit0 THEN ceil(strlen(a) / 4.0)::BIGINT END AS after_tokens FROM f WHERE b0 <> a
+UNION ALL SELECT ctx_id, 1, 'document', ceil(strlen(b1) / 4.0)::BIGINT, CASE WHEN fit1 AND NOT fit0 THEN ceil(strlen(a) / 4.0)::BIGINT END FROM f WHERE b1 <> a""")
+def diff_by_prefix(spark, d):
+    """Each document a context of two rows; of the one row that is left, some begin like the first, some like the second, some like none."""
+    text_, x = F.coalesce("text", F.lit("")), F.lit("x ")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ctx_id"), text_.alias("t"))
+    kind = F.col("ctx_id") % 3
+    after = F.when(kind == 0, F.concat(F.lit("gone "), "t")).when(kind == 1, F.concat("t", F.lit(" and more"))).otherwise(F.concat(x, F.substring("t", 1, 90), F.lit(".")))
+    old = rows.select("ctx_id", F.posexplode(F.array("t", F.concat(x, "t"))).alias("pos", "content"), F.lit("document").alias("role"))
+    new = rows.select("ctx_id", F.lit(0).alias("pos"), after.alias("content"), F.lit("document").alias("role"))
+    return diff.compressed_and_removed(chunks.build_chunks(old), chunks.build_chunks(new))
+
+
 @query(from_chunks(CONV, "SELECT ctx_id, sum(token_count)::BIGINT AS before_tokens, sum(CASE WHEN dropped THEN 0 ELSE token_count END)::BIGINT AS after_tokens, sum(CASE WHEN dropped THEN token_count ELSE 0 END)::BIGINT AS saved, round(sum(CASE WHEN dropped THEN token_count ELSE 0 END) / sum(token_count)::DOUBLE * 100, 6) AS reduction_pct FROM b1 GROUP BY ctx_id", CUT))
 def reduction(spark, d):
     before = conversations(spark, d)
@@ -449,6 +538,22 @@ def transcript_normalize(spark, d):
     return transcript.normalize(transcript.parse_transcript(lines)).select("ctx_id", "pos", "role", "content")
 
 
+_CUT_AT = "list_filter(range(500, least(length(t), 2400) + 1), lambda c: strlen(left(t, c::BIGINT)) % 64 = 0 AND strlen(left(t, c::BIGINT)) >= 1997)[1]"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS ctx_id, text AS t, ceil(strlen(text) / 4.0)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL)
+SELECT ctx_id, 0::BIGINT AS pos, 'tool_interaction' AS role, '[Tool: Read] Input: {{"n":' || ctx_id || '}} Output: ' || CASE WHEN tokens > 500 THEN rtrim(left(t, coalesce({_CUT_AT}, length(t))), ' ' || chr(9) || chr(10) || chr(13)) || ' … [output truncated, ' || tokens || ' tokens]' ELSE t END AS content FROM d
+UNION ALL SELECT doc_id, 0, 'tool_interaction', '[Tool: Read] Input: {{"n":' || doc_id || '}} Output: (no result)' FROM documents WHERE text IS NULL""")
+def transcript_outputs(spark, d):
+    """Every document the output of a tool call; long ones are cut."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ctx_id"), "text")
+    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.lit("t").alias("id"), F.lit("Read").alias("name"), F.struct(F.col("ctx_id").alias("n")).alias("input")))
+    result = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.lit("t").alias("tool_use_id"), F.col("text").alias("content")))
+    line = lambda role, block: F.concat(F.lit(f'{{"type":"{role}","message":{{"role":"{role}","content":['), block, F.lit("]}}"))
+    lines = rows.select("ctx_id", F.posexplode(F.array(line("assistant", use), line("user", result))).alias("entry_no", "line"))
+    return transcript.normalize(transcript.parse_transcript(lines)).select("ctx_id", "pos", "role", "content")
+
+
 LOG = """log AS (SELECT event_id AS request_id, ['gpt-4o', 'gpt-4.1', 'unknown'][(user_id % 3 + 1)::INTEGER] AS model, CASE WHEN event_id % 2 = 0 THEN ['bookend', 'prune'] ELSE ['bookend'] END AS strategies, floor(abs(value) * 10)::BIGINT AS original_tokens,
 floor(floor(abs(value) * 10) * 0.75::DOUBLE)::BIGINT AS optimized_tokens, event_id % 5 <> 0 AS was_optimized, event_id % 10 = 0 AS was_fallback, event_id % 3 = 0 AS is_streaming, event_id % 7 AS latency_ms FROM events),
 priced AS (SELECT *, CASE model """ + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRICES.items()) + """ ELSE 1.0 END::DOUBLE AS price FROM log)"""
@@ -476,9 +581,22 @@ def last_request(spark, d):
     return metrics.last_request(request_log(spark, d))
 
 
-@query()
+TOTALS = SQL["request_totals"].removeprefix("WITH ")
+
+
+@query(f"""WITH {TOTALS.replace('SELECT *, input_original', ', tot AS (SELECT *, input_original', 1)}),
+md AS (SELECT string_agg(model || ':' || requests || ':' || tokens_saved || ':' || round(saved_usd * 100)::BIGINT, ',' ORDER BY model) AS models FROM (SELECT model, count(*)::BIGINT AS requests, sum(greatest(original_tokens - optimized_tokens, 0))::BIGINT AS tokens_saved, round(sum(greatest(original_tokens - optimized_tokens, 0)) * max(price) / 1e6, 2) AS saved_usd FROM priced WHERE original_tokens > 0 GROUP BY model)),
+sg AS (SELECT string_agg(strategy || ':' || n, ',' ORDER BY strategy) AS strategies FROM (SELECT strategy, count(*) AS n FROM (SELECT unnest(strategies) AS strategy FROM log WHERE was_optimized) GROUP BY strategy)),
+lr AS (SELECT model || ':' || original_tokens || ':' || optimized_tokens || ':' || latency_ms AS last FROM log ORDER BY request_id DESC LIMIT 1)
+SELECT tot.*, models, strategies, last FROM tot, md, sg, lr""")
 def metrics_snapshot(spark, d):
-    return metrics.snapshot(request_log(spark, d)).drop("by_model", "strategies", "last_request")
+    """All figures in one row, the maps as texts."""
+    joined = lambda key, *values: F.concat_ws(":", key, *values)
+    r = F.col("last_request")
+    models = F.transform(F.array_sort(F.map_entries("by_model")), lambda e: joined(e["key"], e["value"]["requests"].cast("string"), e["value"]["tokens_saved"].cast("string"), F.round(e["value"]["saved_usd"] * 100).cast("long").cast("string")))
+    strategies = F.transform(F.array_sort(F.map_entries("strategies")), lambda e: joined(e["key"], e["value"].cast("string")))
+    out = metrics.snapshot(request_log(spark, d))
+    return out.withColumns({"models": F.array_join(models, ","), "last": joined(r["model"], r["original_tokens"].cast("string"), r["optimized_tokens"].cast("string"), r["latency_ms"].cast("string")), "strategies": F.array_join(strategies, ",")}).drop("by_model", "last_request")
 
 
 @query("SELECT conv_id AS request_id, true AS was_optimized, false AS was_fallback, sum(ceil(strlen(text) / 4.0))::BIGINT AS original_tokens, sum(ceil(strlen(text) / 4.0))::BIGINT AS optimized_tokens FROM conversations GROUP BY conv_id")
@@ -489,12 +607,12 @@ def optimized_requests(spark, d):
 
 
 def _items(spark, d):
-    rows = table(spark, d, "documents").where("text <> ''")
-    return rows.select(F.col("doc_id").alias("ctx_id"), F.col("doc_id").cast("string").alias("item_id"), F.lit("Other").alias("category"), F.col("text").alias("content"), F.ceil(F.col("n_chars") / 4).cast("long").alias("tokens"), (1.0 / (1 + F.col("doc_id") % 7)).alias("priority_score"), F.array("doc_id").alias("source_positions"))
+    rows = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.select(F.col("doc_id").alias("ctx_id"), F.col("doc_id").cast("string").alias("item_id"), F.lit("Other").alias("category"), F.col("text").alias("content"), F.ceil(F.coalesce("n_chars", F.lit(0)) / 4).cast("long").alias("tokens"), (1.0 / (1 + F.col("doc_id") % 7)).alias("priority_score"), F.array("doc_id").alias("source_positions"))
 
 
 ITEM_WORDS = words_sql("text", "", 1, [])
-LOSS = f"""it AS (SELECT doc_id AS ctx_id, text, list_distinct({ITEM_WORDS}) AS own, list_distinct({words_sql('substr(text, 1, length(text) // 2)', '', 1, [])}) AS said FROM documents WHERE text <> ''),
+LOSS = f"""it AS (SELECT doc_id AS ctx_id, text, list_distinct({ITEM_WORDS}) AS own, list_distinct({words_sql('substr(text, 1, length(text) // 2)', '', 1, [])}) AS said FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 ov AS (SELECT ctx_id, CASE WHEN len(own) > 0 THEN len(list_intersect(own, said)) / len(own)::DOUBLE ELSE 0.0 END AS overlap_score FROM it),
 cls AS (SELECT *, CASE WHEN overlap_score >= 0.7 THEN 'preserved' WHEN overlap_score >= 0.3 THEN 'paraphrased' ELSE 'lost' END AS state FROM ov)"""
 
@@ -510,7 +628,7 @@ def loss_states(spark, d):
     return loss_classify(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-INJECT = """i0 AS (SELECT try_cast(substr(source, 4) AS BIGINT) AS ctx_id, doc_id::VARCHAR AS item_id, ceil(n_chars / 4.0)::BIGINT AS tokens, 1.0::DOUBLE / (1 + doc_id % 7) AS pr FROM documents WHERE text <> ''),
+INJECT = """i0 AS (SELECT try_cast(substr(source, 4) AS BIGINT) AS ctx_id, doc_id::VARCHAR AS item_id, ceil(coalesce(n_chars, 0) / 4.0)::BIGINT AS tokens, 1.0::DOUBLE / (1 + doc_id % 7) AS pr FROM documents),
 i1 AS (SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY pr DESC, item_id) AS rank, sum(tokens) OVER (PARTITION BY ctx_id ORDER BY pr DESC, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM i0)"""
 
 
@@ -521,7 +639,16 @@ def injection_select(spark, d):
     return compaction.injection_select(items, 1000).select("ctx_id", "item_id", "rank", "tokens", "truncated")
 
 
-@query()
+_KINDS = " ".join(f"WHEN regexp_matches(content, '{p}') THEN '{k}'" for k, p in compaction.PATTERNS.items())
+ITEMS = f"""sh AS (SELECT *, CASE WHEN sum(token_count) OVER (PARTITION BY ctx_id) > 0 THEN coalesce(sum(token_count) OVER (PARTITION BY ctx_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(token_count) OVER (PARTITION BY ctx_id)::DOUBLE ELSE 0 END AS share FROM chunks),
+pc AS (SELECT ctx_id, pos, n, share, trim(unnest(string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))) AS content FROM sh),
+kd AS (SELECT *, CASE {_KINDS} END AS category FROM pc WHERE content <> ''),
+it AS (SELECT ctx_id, lower(content) AS key, arg_min(content, pos) AS content, arg_min(category, pos) AS category, count(*) AS occurrence_count, max(pos) AS last, max(n) AS n, arg_min(share, pos) AS share FROM kd WHERE category IS NOT NULL GROUP BY ALL),
+pr AS (SELECT ctx_id, substr(sha256(key), 1, 16) AS item_id, category, occurrence_count, ceil(strlen(content) / 4.0)::BIGINT AS tokens, 1.0::DOUBLE / occurrence_count * exp(-0.05::DOUBLE * (n - 1 - last)) * (1 - abs(share - 0.5::DOUBLE) * 2) AS priority FROM it),
+best AS (SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY priority DESC, item_id) AS rank FROM pr WHERE priority >= 0.1)"""
+
+
+@query(from_chunks(DOCS, "SELECT ctx_id, item_id, category, occurrence_count::BIGINT AS occurrence_count, tokens FROM best WHERE rank <= 200", ITEMS))
 def fingerprint_items(spark, d):
     return compaction.keep_best(compaction.extract_items(documents(spark, d))).select("ctx_id", "item_id", "category", "occurrence_count", "tokens")
 
@@ -536,3 +663,42 @@ def text_functions(spark, d):
 @query("SELECT conv_id AS ctx_id, to_json(list(struct_pack(role := role, content := text) ORDER BY turn))::VARCHAR AS json FROM conversations GROUP BY conv_id")
 def messages_json(spark, d):
     return chunks.to_messages(conversations(spark, d)).select("ctx_id", "json")
+
+
+@query()
+def exact_token_counts(spark, d):
+    """Tokens of each conversation by a public byte-pair vocabulary instead of the estimate."""
+    return chunks.count_tokens(chunks.recount(conversations(spark, d), tokens.public_bpe()))
+
+
+def _store(spark) -> state.StateStore:
+    return state.StateStore(spark, state.scratch_folder(spark))
+
+
+@query("""WITH v AS (SELECT source AS session_id, doc_id::VARCHAR AS item_id, 1::BIGINT AS version FROM documents UNION ALL SELECT source, doc_id::VARCHAR, 2 FROM documents WHERE doc_id % 3 = 0 AND ends_with(source, '1')),
+n AS (SELECT session_id, max(version) AS version FROM v GROUP BY session_id) SELECT v.* FROM v JOIN n USING (session_id, version)""")
+def state_latest(spark, d):
+    """What was written last for each session, some of which were written twice."""
+    store, rows = _store(spark), table(spark, d, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").cast("string").alias("item_id"))
+    store.append("fingerprints", rows, 1)
+    store.append("fingerprints", rows.where("cast(item_id as long) % 3 = 0 and session_id like '%1'"), 2)
+    return store.latest("fingerprints")
+
+
+@query("""SELECT source AS session_id, count(*)::BIGINT AS compactions, sum(coalesce(n_chars, 0))::BIGINT AS items, sum(coalesce(n_chars, 0) // 2)::BIGINT AS preserved,
+round(CASE WHEN sum(coalesce(n_chars, 0)) > 0 THEN sum(coalesce(n_chars, 0) // 2) / sum(coalesce(n_chars, 0))::DOUBLE ELSE 0 END, 6) AS preserved_ratio FROM documents GROUP BY source""")
+def state_history(spark, d):
+    """Figures over the event log, written in two appends."""
+    n = F.coalesce("n_chars", F.lit(0)).cast("long")
+    rows = table(spark, d, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").cast("string").alias("timestamp"), F.lit("auto").alias("trigger"), n.alias("total_items"), F.floor(n / 2).cast("long").alias("preserved"))
+    store = _store(spark)
+    for k in (0, 1):
+        store.append("compaction_log", rows.where(F.col("timestamp").cast("long") % 2 == k), k)
+    return rounded(state.history_ratios(store.history()), "preserved_ratio")
+
+
+@query(f"WITH {TOTALS.replace('FROM priced)', 'FROM priced WHERE request_id > (SELECT max(event_id) FROM events WHERE event_id % 1000 = 0))')}")
+def metrics_after_reset(spark, d):
+    """Totals since the last reset."""
+    resets = table(spark, d, "events").where("event_id % 1000 = 0").select(F.col("event_id").alias("request_id"))
+    return metrics.request_totals(metrics.after_reset(request_log(spark, d), resets))

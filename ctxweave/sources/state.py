@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,14 @@ from ..operators.compaction import DEFAULTS
 TABLES = ("fingerprints", "loss_reports", "pending_injections", "delivered_injections", "compaction_log")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a local master may go without that."""
+    place = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not place and not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{place.rstrip('/') or 'file://' + tempfile.mkdtemp(prefix='ctxweave-')}/ctxweave-state/{uuid.uuid4().hex}"
+
+
 class StateStore:
     """Tables that grow by appending; what was written last for a session is read by its version, so a reader never sees half a write."""
 
@@ -39,6 +51,20 @@ class StateStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _claim(self, path: str) -> bool:
+        """Whether this call made the file: file systems make one of a name once."""
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p.getParent())
+        try:
+            fs.create(p, False).close()
+        except Exception:  # it is there already
+            if fs.exists(p):
+                return False
+            raise
+        return True
+
     def append(self, table: str, rows: DataFrame, version: int | None = None) -> None:
         """Add ``rows``; ``version`` orders the writes of a session (now, unless given)."""
         v = F.lit(version).cast("long") if version is not None else F.unix_micros(F.current_timestamp())
@@ -58,7 +84,11 @@ class StateStore:
         return rows.join(newest, ["session_id", "version"])
 
     def take_injection(self, session_id: str) -> str | None:
-        """The session's pending injection, once."""
+        """The session's pending injection, once.
+
+        A taker claims it by making a marker file of its own name, which only one can; the others get
+        nothing, also if the winner is lost before it records the delivery.
+        """
         pending = self.latest("pending_injections", session_id)
         if pending is None:
             return None
@@ -68,6 +98,8 @@ class StateStore:
         row = pending.select("text", "version").first()
         if row is None:
             return None
+        if not self._claim(f"{self.folder}/claims/{safe_name(session_id)}-{row[1]}"):
+            return None
         self.append("delivered_injections", self.spark.createDataFrame([(session_id, row[1])], "session_id string, delivered long"))
         return row[0]
 
@@ -79,6 +111,11 @@ class StateStore:
         return (rows.where(F.col("session_id") == session_id) if session_id else rows).orderBy("version", "timestamp")
 
 
+def safe_name(session_id: str) -> str:
+    """A file name for a session, different for different ones."""
+    return hashlib.sha256(session_id.encode()).hexdigest()[:32]
+
+
 def history_ratios(events: DataFrame) -> DataFrame:
     """session_id, compactions, items, preserved share."""
     out = events.groupBy("session_id").agg(F.count(F.lit(1)).alias("compactions"), F.sum("total_items").alias("items"), F.sum("preserved").alias("preserved"))

@@ -22,38 +22,63 @@ Sink = Callable[[DataFrame, int], None]
 RAW_SCHEMA = "ctx_id long, version long, raw string"
 
 
-def validate_watch(source: str, auto_optimize: bool, output: str | None) -> None:
+def validate_watch(source: str, auto_optimize: bool, output: str | None, spark: SparkSession | None = None) -> None:
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(source)
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            raise ValueError(f"no such folder: {source}")
     if auto_optimize != (output is not None):
         raise ValueError("auto_optimize and output go together")
     if output is not None and output.rstrip("/") == source.rstrip("/"):
         raise ValueError("output must not be the watched folder")
 
 
-def watch(spark: SparkSession, source: str, report: Sink, checkpoint: str, alert: Sink | None = None, alert_below: int = 50, auto_optimize: bool = False, output: str | None = None, strategies: list[str] | None = None, preset: str | None = None, budget: int | None = None, config: PipelineConfig = PipelineConfig(), interval: str | None = "5 seconds") -> StreamingQuery:
+def watch(spark: SparkSession, source: str, report: Sink, checkpoint: str, alert: Sink | None = None, alert_below: int = 50, auto_optimize: bool = False, output: str | None = None, strategies: list[str] | None = None, preset: str | None = None, budget: int | None = None, config: PipelineConfig = PipelineConfig(), interval: str | None = "5 seconds", errors: Sink | None = None) -> StreamingQuery:
     """Analyze each version of a context that appears below ``source`` (Parquet of ctx_id, version, raw).
 
     Writers add a file for each new version; a batch analyzes the newest version of each context in it.
     ``alert`` gets the contexts whose health is below ``alert_below``. With ``auto_optimize`` the optimized
-    messages go to ``output``. A batch that fails is logged and the job goes on. Without ``interval`` the job
+    messages go to ``output``. A batch that fails is logged and the job goes on; its contexts
+    are then taken one by one, and ``errors`` gets those that fail alone (ctx_id, raw). Without ``interval`` the job
     ends when it has read all there is.
     """
-    validate_watch(source, auto_optimize, output)
+    validate_watch(source, auto_optimize, output, spark)
     names = resolve(strategies, preset)
 
-    def batch(rows: DataFrame, epoch: int) -> None:
+    def handle(newest: DataFrame, epoch: int) -> None:
+        chunks = load(newest).persist()
+        found = analyze(chunks, "default").persist()
         try:
-            newest = rows.groupBy("ctx_id").agg(F.max_by("raw", "version").alias("raw"))
-            chunks = load(newest).persist()
-            found = analyze(chunks, "default").persist()
+            found.count()
+            new = optimize(chunks, names, budget=budget, config=config).persist() if output is not None else None
+            if new is not None:
+                new.count()  # what can't be computed fails before anything is reported
             report(found, epoch)
             if alert is not None:
                 alert(found.where(F.col("health_score") < alert_below), epoch)
-            if output is not None:
-                optimize(chunks, names, budget=budget, config=config).write.mode("append").parquet(output)
+            if new is not None:
+                new.write.mode("append").parquet(output)
+                new.unpersist()
+        finally:
             found.unpersist()
             chunks.unpersist()
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        newest = rows.groupBy("ctx_id").agg(F.max_by("raw", "version").alias("raw")).persist()
+        try:
+            handle(newest, epoch)
         except Exception:
-            log.exception("batch %s failed; the watch goes on", epoch)
+            log.exception("batch %s failed; its contexts are taken one by one", epoch)
+            for row in newest.select("ctx_id").toLocalIterator():
+                one = newest.where(F.col("ctx_id").eqNullSafe(row[0]))
+                try:
+                    handle(one, epoch)
+                except Exception:
+                    log.exception("context %s failed; the watch goes on", row[0])
+                    if errors is not None:
+                        errors(one, epoch)
+        finally:
+            newest.unpersist()
 
     stream = spark.readStream.schema(RAW_SCHEMA).parquet(source)
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -111,6 +136,23 @@ def running_metrics(requests: DataFrame) -> DataFrame:
     return requests.where("original_tokens > 0").groupBy("model").agg(F.count(F.lit(1)).alias("requests"), F.sum(saved).alias("tokens_saved"))
 
 
+def running_last(requests: DataFrame) -> DataFrame:
+    """The latest request so far: a state of one row."""
+    return requests.groupBy().agg(F.max_by(F.struct("model", "original_tokens", "optimized_tokens", "latency_ms"), "request_id").alias("last_request"))
+
+
+#: Paths that are answered here, and what with; other paths pass.
+ANSWERS = {"/health": '{"status":"ok"}'}
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """request_id, answer of the requests (request_id, path, body) that need no provider; the others have a null answer and go on."""
+    answer = F.lit(None).cast("string")
+    for path, text in ANSWERS.items():
+        answer = F.when(F.col("path") == path, text).otherwise(answer)
+    return requests.select("request_id", answer.alias("answer"))
+
+
 def windowed_metrics(requests: DataFrame, time: str = "ts", late: str = "10 minutes", every: str = "5 minutes") -> DataFrame:
     """Figures for each model and span of time; what comes later than ``late`` is left out."""
     return requests.withWatermark(time, late).groupBy(F.window(time, every), "model").agg(F.count(F.lit(1)).alias("requests"), F.sum("original_tokens").alias("original_tokens"), F.sum("optimized_tokens").alias("optimized_tokens"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxweave.functions import pricing, text
-from ctxweave.operators import bookend, budget, chunks, compaction, dedup, diff, duplication, health, prune, structural, summarize
+from ctxweave.operators import bookend, budget, chunks, compaction, dedup, diff, duplication, health, metrics, prune, structural, summarize
 from ctxweave.plans import commands, pipeline
 from ctxweave.sources import config, formats, providers, state, transcript
 from ctxweave.streaming import jobs
@@ -372,3 +372,129 @@ def test_report_and_message_output(spark, tmp_path):
     assert json.loads(spark.read.text(f"{tmp_path}/m").first()[0]) == {"ctx_id": 1, "messages": [{"role": "user", "content": "hello"}]}
     with pytest.raises(ValueError):
         commands.analyze(chat(spark, ("user", "a")), output="xml")
+
+
+def test_byte_cut(spark):
+    texts = ["", "abc", "aé", "日本語", "🙂🙂", "é" * 5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in (0, 1, 2, 3, 4, 5, 7):
+        want = [t.encode()[:most].decode(errors="ignore") for t in texts]
+        assert [r[0] for r in df.select(text.cut_bytes("t", most)).collect()] == want
+
+
+def test_long_outputs_are_cut_where_a_character_ends(spark):
+    def cut(t):
+        size = 0
+        for i, ch in enumerate(t):
+            size += len(ch.encode())
+            if size % 64 == 0 and -(-size // 4) >= 500:
+                return t[: i + 1].rstrip()
+        return t.rstrip()
+
+    texts = ["a" * 2000, "a" * 2001, "a" * 5000, "é" * 3000, "a" + "é" * 3000, "日" * 1500, "ab" + "🙂" * 900, "x" * 2040 + " " * 300, "x" * 2047 + "é" + "y" * 20, ("a" + "🙂" * 15 + "日") * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, (got,) in zip(texts, df.select(transcript.shortened(F.col("t"))).collect(), strict=True):
+        n = -(-len(t.encode()) // 4)
+        assert got == (t if n <= 500 else f"{cut(t)} … [output truncated, {n} tokens]")
+
+
+def test_dropping_many_lines_takes_proportional_time(spark):
+    lines = [f"line {k}" for k in range(60_000)]
+    df = spark.createDataFrame([("\n".join(lines), list(range(0, 60_000, 2))), ("a\nb", []), ("a\nb", [1, 0])], "t string, gone array<int>")
+    got = [r[0] for r in df.select(text.without_positions(F.split("t", "\n"), F.col("gone"))).collect()]
+    assert got == ["\n".join(lines[1::2]), "a\nb", ""]
+
+
+def test_errors_of_messages(spark):
+    raw = spark.createDataFrame([(1, '[{"role":"user","content":"a"},{"role":"user"}]'), (2, '[{"role":"user","content":"b"}]'), (3, "[]"), (4, "plain")], "ctx_id long, raw string")
+    got = sorted(map(tuple, formats.parse_messages(raw).select("ctx_id", "pos", "role", "content", "error").collect()))
+    assert got == [(1, None, None, None, "not valid as openai"), (2, 0, "user", "b", None), (4, 0, "document", "plain", None)]
+    assert formats.parse_messages(raw).where("error is null").count() == 2
+    with pytest.raises(Exception, match="not valid as openai"):
+        formats.parse_messages(raw, failfast=True).collect()
+
+
+def test_injections_are_taken_by_one(spark, tmp_path):
+    s = state.StateStore(spark, f"file://{tmp_path}/state")
+    s.append("pending_injections", spark.createDataFrame([("a/b", "text")], "session_id string, text string"), 7)
+    assert s._claim(f"{s.folder}/claims/{state.safe_name('a/b')}-7")  # another taker was here first and has not recorded it yet
+    assert s.take_injection("a/b") is None
+    assert not s._claim(f"{s.folder}/claims/{state.safe_name('a/b')}-7") and state.safe_name("a/b") != state.safe_name("a_b")
+
+
+def test_vectors_in_blocks_are_those_of_pairs():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    vectors = [x.astype(np.float32) for x in r.normal(size=(40, 9))] + [np.zeros(9, np.float32)]
+    rows = list(dedup.cosine_rows(vectors, 7))
+    assert np.allclose(rows, [[dedup.cosine(a, b) for b in vectors] for a in vectors], atol=1e-6)
+    odd = [np.ones(3, np.float32), np.ones(5, np.float32)]
+    assert np.allclose(list(dedup.cosine_rows(odd)), [[dedup.cosine(a, b) for b in odd] for a in odd])
+
+
+def test_metrics_after_a_reset_and_a_dashboard(spark):
+    log = spark.createDataFrame([(i, "gpt-4o", ["bookend"], 100 * i, 60 * i, True, False, False, 3) for i in range(1, 6)], "request_id long, model string, strategies array<string>, original_tokens long, optimized_tokens long, was_optimized boolean, was_fallback boolean, is_streaming boolean, latency_ms long")
+    resets = spark.createDataFrame([(2,), (3,)], "request_id long")
+    assert metrics.request_totals(metrics.after_reset(log, resets)).first().input_original == 900
+    assert metrics.request_totals(metrics.after_reset(log, resets.where("false"))).first().total == 5
+    shown = commands.show_dashboard(metrics.snapshot(log).first().asDict(recursive=True), 3 * 3600 + 62)
+    assert shown.split("\n") == ["Uptime: 03h 01m 02s    Requests: 5", "Tokens saved: 600 (40.0%)", "Est. cost saved: $0.00", "Avg optimization latency: 3.0ms", "Last: gpt-4o | 500->300  (-40.0%)"]
+
+
+def test_tables_for_a_terminal(spark, tmp_path):
+    before = chat(spark, ("system", "rules"), ("user", "one two three"), ("assistant", "four five six seven"), ("user", "eight"))
+    shown = commands.show_chunks([r.asDict() for r in before.collect()]).split("\n")
+    assert shown[0].split() == ["idx", "role", "tokens", "zone", "relevance"] and len(shown) == 6 and shown[2].split() == ["0", "system", "2", "STRONG", "1.00"]
+    after = bookend.bookend(before).where("role <> 'assistant'")
+    found = commands.diff(before, after)
+    told = commands.show_diff(found["summary"].first().asDict(), *([r.asDict() for r in found[k].collect()] for k in ("moved", "compressed", "removed")), most=1)
+    assert "Total tokens" in told and "Removed: 1" in told and "message 2 (assistant): 5 tokens" in told
+    commands.write_pretty(before, f"file://{tmp_path}/pretty")
+    files = [p.read_text() for p in (tmp_path / "pretty").rglob("*.txt")]
+    assert len(files) == 1 and json.loads(files[0]) == [{"role": r, "content": t} for r, t in (("system", "rules"), ("user", "one two three"), ("assistant", "four five six seven"), ("user", "eight"))]
+
+
+def test_settings_reach_the_pipeline(spark):
+    c = config.parse('[optimize]\nstrategies = ["prune"]\nbudget = 30\n[prune]\nthreshold = 0.99\n[summarize]\nrecent_turns = 2\n', "here")
+    set_ = pipeline.configured(c)
+    assert (set_.prune_threshold, set_.recent_turns, set_.dedup_threshold) == (0.99, 2, 0.85)
+    df = contexts(spark)
+    want = pipeline.optimize(df, ["prune"], budget=30, config=set_)
+    assert by_ctx(pipeline.optimize_configured(df, c)) == by_ctx(want)
+
+
+def test_exact_counts(spark):
+    from ctxweave.functions import tokens
+
+    pytest.importorskip("public_tokenizers")
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "plain words, and 123 figures!", "  odd   space\n\n", "日本語 é 🙂", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [r[0] for r in df.select(tokens.public_bpe()(F.col("t"))).collect()] == [len(t.encode(x or "").ids) for x in texts]
+
+
+def test_requests_that_are_answered_here(spark):
+    df = spark.createDataFrame([(1, "/health", ""), (2, "/v1/models", ""), (3, None, "")], "request_id long, path string, body string")
+    assert [r.answer for r in jobs.answered(df).orderBy("request_id").collect()] == ['{"status":"ok"}', None, None]
+
+
+def test_a_bad_context_does_not_take_others_with_it(spark, tmp_path):
+    rows = [(1, 1, '[{"role":"user","content":"fine"}]'), (2, 1, '[{"role":"user","content":"bad"}]')]
+    spark.createDataFrame(rows, jobs.RAW_SCHEMA).write.parquet(f"{tmp_path}/in")
+    seen, failed = [], []
+
+    def report(df, epoch):
+        ids = [r.ctx_id for r in df.select("ctx_id").collect()]
+        if 2 in ids:
+            raise ValueError("cannot be shown")
+        seen.extend(ids)
+
+    q = jobs.watch(spark, f"{tmp_path}/in", report, f"{tmp_path}/c", interval=None, errors=lambda df, epoch: failed.extend(r.ctx_id for r in df.collect()))
+    q.awaitTermination(120)
+    assert seen == [1] and failed == [2]
+    with pytest.raises(ValueError, match="no such folder"):
+        jobs.watch(spark, f"{tmp_path}/absent", report, f"{tmp_path}/c2")
