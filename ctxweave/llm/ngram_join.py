@@ -165,26 +165,31 @@ def _tokens(keys: bytes, classes: bytes) -> tuple:
     return tuple(k[np.lexsort((k, c))].tolist())
 
 
-def _join_blocks(rows: pa.Table, percent: int) -> pa.Table:
-    """Links within a block, or between two, as (member, root) of the groups that they form."""
-    block = rows.column("blk").to_pylist()
-    members, sizes = rows.column("cls").to_pylist(), rows.column("n").to_pylist()
+def _block_links(rows: pa.Table, percent: int) -> pa.Table:
+    """Links (class, class) that join what links within a block: ``asks`` rows are asked against ``held`` ones.
+
+    Rows of one ``comp`` are joined from the start. Of each component only its first row is named.
+    """
+    members, sizes, comp, held, asks = (rows.column(c).to_pylist() for c in ("cls", "n", "comp", "held", "asks"))
     sets = [_tokens(k, c) for k, c in zip(rows.column("keys").to_pylist(), rows.column("classes").to_pylist(), strict=True)]
-    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    order = sorted(range(len(members)), key=lambda r: (members[r], r))
+    order = sorted(range(len(members)), key=lambda r: members[r])
     rank = {r: k for k, r in enumerate(order)}
-    groups, tree = Groups(len(members)), PrefixTree(percent)
-    for r in sorted(range(len(members)), key=lambda r: (block[r] != i, sizes[r], members[r])):
-        if i == j or block[r] == j:
+    groups, tree, first = Groups(len(members)), PrefixTree(percent), {}
+    for k, r in enumerate(order):
+        groups.join(k, first.setdefault(comp[r], k))
+    for r in sorted(range(len(members)), key=lambda r: (not held[r], sizes[r], members[r])):
+        if asks[r]:
             tree.link(rank[r], sizes[r], sets[r], groups)
-        if i == j or block[r] == i:
+        if held[r]:
             tree.add(rank[r], sizes[r], sets[r])
-    pairs = [(members[order[k]], members[order[g]]) for k in range(len(order)) if (g := groups.root(k)) != k]
+    pairs = [(members[order[k]], members[order[g]]) for k in first.values() if (g := groups.root(k)) != k]
     return pa.table({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
 
 
 #: 64-bit words of a set's sketch, and classes of one prefix token that are compared pair by pair.
 SKETCH_WORDS, COMPARED = 8, 512
+#: Sets of a block at most, so that its join stays short.
+BLOCK_SETS = 512
 
 
 def sketch(keys: np.ndarray) -> np.ndarray:
@@ -223,6 +228,50 @@ def plausible(token: np.ndarray, cls: np.ndarray, n: np.ndarray, shared: np.ndar
     return edges[:, 0], edges[:, 1]
 
 
+def _family_links(rows: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links (u, v) that join the classes of each family that link, directly or over others.
+
+    ``rows`` has cls, fam, n, keys and classes. A family of more than ``block_bytes`` or BLOCK_SETS is cut into blocks, by a band of
+    sizes, as only sizes of neighbouring bands link, and a hash. First every block is joined with itself and
+    with three hubs of its band and the one below, so near copies of each other find together at a cost that
+    grows with the family alone. Then the classes outside their family's largest component, if there are any, are
+    asked against the other blocks of their band and its neighbours. Links within a component are never needed.
+    """
+    place = rows.select("cls", "fam", F.floor(F.log(max(100 / percent, 1.0001) * (1 + 1e-9), "n")).cast("int").alias("band"), F.length("keys").alias("size"))
+    bands = place.groupBy("fam", "band").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("sets"))
+    whole = bands.groupBy("fam").agg(((F.sum("size") <= block_bytes) & (F.sum("sets") <= BLOCK_SETS)).alias("one"))
+    parts = F.greatest(F.ceil(F.col("size") / block_bytes), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
+    bands = bands.join(whole, "fam").select("fam", "band", "one", F.when(F.col("one"), 0).otherwise(F.col("band") + 1).alias("row"), F.when(F.col("one"), 1).otherwise(parts).alias("parts"))
+    block = F.col("row").cast("long") * (1 << 32) + F.pmod(F.xxhash64("cls"), F.col("parts"))
+    place = stage(place.join(bands, ["fam", "band"]).select("cls", "fam", "one", "row", block.alias("blk")), "places")
+    own = place.select("cls", "fam", "blk", F.col("cls").alias("comp"), F.lit(True).alias("held"), F.lit(True).alias("asks"))
+    cut = place.where("not one")
+    hubs = cut.groupBy("fam", "row").agg(F.array_distinct(F.array(F.min("cls"), F.max("cls"), F.min_by("cls", F.xxhash64("cls")))).alias("hubs")).select("fam", F.explode(F.array("row", F.col("row") + 1)).alias("row"), F.explode("hubs").alias("cls"))
+    blocks = cut.select("fam", "row", "blk").distinct()
+    visits = hubs.join(blocks, ["fam", "row"]).join(place.select("cls", F.col("blk").alias("home")), "cls").where("blk <> home")
+    visits = visits.select("cls", "fam", "blk", F.col("cls").alias("comp"), F.lit(True).alias("held"), F.lit(True).alias("asks"))
+    sets = rows.select("cls", "n", "keys", "classes")
+    join = lambda t: _block_links(t, percent)
+    links = stage(own.unionByName(visits).join(sets, "cls").groupBy("fam", "blk").applyInArrow(join, "u long, v long"), "block-links")
+    if cut.isEmpty():
+        return links
+    joined = components(links)
+    told = stage(cut.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "fam", "row", "blk", F.coalesce("component", "cls").alias("comp")), "told")
+    largest = told.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("fam").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+    rest = told.join(largest, "fam").where("comp <> largest").drop("largest")
+    if rest.isEmpty():
+        return links
+    # the rest in groups of BLOCK_SETS; each meets every block of its band and the neighbouring ones but its own
+    groups = rest.groupBy("fam").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("groups"))
+    rest = rest.join(groups, "fam").withColumn("group", F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("groups")).cast("int"))
+    met = rest.select("cls", "fam", F.col("blk").alias("home"), "comp", "group", F.explode(F.array(F.col("row") - 1, "row", F.col("row") + 1)).alias("row")).join(blocks, ["fam", "row"]).where("blk <> home")
+    asked = met.select("cls", "fam", "blk", "group", "comp", F.lit(False).alias("held"), F.lit(True).alias("asks"))
+    tasks = met.select("fam", "blk", "group").distinct()
+    given = told.join(tasks, ["fam", "blk"]).select("cls", "fam", "blk", "group", "comp", F.lit(True).alias("held"), F.lit(False).alias("asks"))
+    more = asked.unionByName(given).join(sets, "cls").groupBy("fam", "blk", "group").applyInArrow(join, "u long, v long")
+    return links.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))).unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for each row of ``docs`` (doc_id, text) with a doc_id.
 
@@ -234,9 +283,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
     other shingles are too few for a link is done. The rest are joined: a linked pair shares a token
     in its prefixes (rarest first) and differs in few keys, so families are the components of classes that share one and whose
     sketches differ little enough; unrelated documents with a common phrase don't become one family. Tokens of more than
-    COMPARED classes join these without a look at sketches. Each
-    family is cut into blocks of about ``block_bytes``, by size beyond one, and each pair of blocks whose sizes
-    can link is one task's prefix-tree join, which yields groups, never pairs. No family or block is dropped.
+    COMPARED classes join these without a look at sketches. Families are joined in blocks (see ``_family_links``), each one
+    task's prefix-tree join, which yields groups, never pairs. No family or block is dropped.
 
     A very long text is one chunk's keys in one task, and later one set; sketches rule out pairs of sets up to about 1,500
     shingles, beyond which sharing a prefix token makes a family.
@@ -287,19 +335,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
     near = few.repartition("token").sortWithinPartitions("token").mapInArrow(compare, "u long, v long")
     family = components(near.unionByName(meeting.where((F.col("c") > COMPARED) & (F.col("cls") != F.col("v"))).select(F.col("cls").alias("u"), "v")))
     rows = sets.join(family.withColumnRenamed("node", "cls").withColumnRenamed("component", "fam"), "cls")
-    # a family beyond one block is dealt by size band, as sizes a band apart or less alone can link, and by a hash within
-    place = rows.select("cls", "fam", F.floor(F.log(max(100 / percent, 1.0001) * (1 + 1e-9), "n")).cast("int").alias("band"), F.length("keys").alias("size"))
-    bands = place.groupBy("fam", "band").agg(F.sum("size").alias("size"))
-    whole = bands.groupBy("fam").agg((F.sum("size") <= block_bytes).alias("one"))
-    bands = bands.join(whole, "fam").select("fam", "band", F.when(F.col("one"), 0).otherwise(F.col("band") + 1).alias("row"), F.when(F.col("one"), 1).otherwise(F.ceil(F.col("size") / block_bytes)).cast("int").alias("parts"))
-    block = F.col("row") * (1 << 20) + F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    place = place.join(bands, ["fam", "band"]).select("cls", "fam", block.alias("blk"))
-    blocks = bands.select("fam", "row", F.explode(F.sequence(F.col("row") * (1 << 20), F.col("row") * (1 << 20) + F.col("parts") - 1)).alias("blk")).distinct()
-    a, b = blocks.alias("a"), blocks.alias("b")
-    pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.blk") <= F.col("b.blk")) & (F.col("b.row") - F.col("a.row") <= 1)).select(F.col("a.fam").alias("fam"), F.col("a.blk").alias("i"), F.col("b.blk").alias("j"))
-    uses = pairs.select("fam", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
-    tasks = uses.join(place.select("fam", "blk", "cls"), ["fam", "blk"]).join(sets, "cls")
-    links = tasks.groupBy("fam", "i", "j").applyInArrow(lambda t: _join_blocks(t, percent), "u long, v long")
+    links = stage(_family_links(rows, percent, block_bytes), "links")
     linked = components(links)
     per_class = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("n", "h1", "h2", F.coalesce("component", "cls").alias("component_id"))
     out = found.select("doc_id", "text_key", "n", "h1", "h2").join(per_class, ["n", "h1", "h2"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import input_bytes
 
 #: A chunk is what one task handles at once: at most so many documents, and about so many keys.
-CHUNK_DOCS, CHUNK_KEYS = 1 << 16, 1 << 21
+CHUNK_DOCS, CHUNK_KEYS = 1 << 16, 1 << 20
 #: A key of so many documents of a chunk is heavy: it is sent once, without its documents.
 HEAVY = 32
 #: Class of a heavy key; of others the class is the binary logarithm of their number of documents, rounded down.
@@ -42,7 +42,7 @@ def bucket_count(docs: DataFrame) -> int:
     """Buckets for the keys of ``docs``: a power of two that grows with the input.
 
     A bucket stands for the keys of 1 to 2 MB of text up to 2 TB; beyond, there are 2^20 and it grows (about 100 MB at 100 TB),
-    as a chunk has about 2^21 keys and more buckets would mean a row for each of them.
+    as a chunk has about 2^20 keys and more buckets would mean a row for each of them.
     """
     return 1 << max(10, min(20, (input_bytes(docs) // (1 << 21)).bit_length()))
 
