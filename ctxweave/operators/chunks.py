@@ -54,6 +54,12 @@ def build_chunks(messages: DataFrame, counter: TokenCounter = bytes4) -> DataFra
     return with_zones(rows).select(*COLUMNS)
 
 
+def is_small(df: DataFrame, most: int = 16 << 20) -> bool:
+    """Whether all that ``df`` reads is so little, by Catalyst's estimate of its sources, that any context fits one group; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= most
+
+
 def recount(chunks: DataFrame, counter: TokenCounter = bytes4) -> DataFrame:
     return chunks.withColumn("token_count", counter(F.col("content")))
 

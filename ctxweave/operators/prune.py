@@ -2,46 +2,107 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import is_filler, prune_words, raw_words, trimmed, without_positions
+from ..functions.text import is_filler, prune_words, raw_words, trimmed
 from ..functions.tokens import TokenCounter, bytes4
-from .chunks import per_context, is_protected
+from .chunks import is_protected, is_small, per_context
 
 #: What a chunk becomes that keeps no visible line.
 PLACEHOLDER = "[earlier context summarized]"
 
 
-def lines(chunks: DataFrame) -> DataFrame:
-    """A row for each line of each chunk, with line_no and whether it stands in (or is) a code fence.
-
-    A context's fences pair up within a chunk, by a running count over its lines.
+#: Contexts of up to so many chunks and bytes are compared in one group; in larger ones lines meet chunks through a join.
+SMALL, SMALL_BYTES = 2000, 32 << 20
+#: Meetings of a line's words and earlier chunks that are counted at once.
+MEETINGS = 1 << 22
+
+
+def _marked(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``__protected``, ``__n``, ``__bytes`` and ``__words``: for each line its distinct content words, hashed, and how many there are with repeats."""
+    each = F.transform(F.split("content", "\n"), lambda line: F.transform(F.array(prune_words(line)), lambda ws: F.struct(F.transform(F.array_distinct(ws), lambda w: F.xxhash64(w)).alias("h"), F.size(ws).alias("n")))[0])
+    size = F.sum(F.octet_length("content")).over(per_context())
+    return chunks.withColumns({"__protected": is_protected(), "__n": F.count(F.lit(1)).over(per_context()), "__bytes": size}).withColumn("__words", each)
+
+
+def _most_shared(chunk_of_line: np.ndarray, line: np.ndarray, word: np.ndarray, chunks: int) -> np.ndarray:
+    """For each line the most words that it shares with one earlier chunk; ``line`` and ``word`` are its distinct words, line after line."""
+    most = np.zeros(len(chunk_of_line), np.int32)
+    if not len(word):
+        return most
+    own = chunk_of_line[line]
+    word = np.unique(word, return_inverse=True)[1]
+    held = np.unique(word * chunks + own)  # each word's chunks in order
+    start, stop = np.searchsorted(held, word * chunks), np.searchsorted(held, word * chunks + own)
+    n = stop - start
+    group = np.cumsum(np.bincount(line, n, len(most)) + chunks) // MEETINGS
+    edges = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(most)]
+    for low, high in zip(edges, edges[1:], strict=False):
+        a, b = np.searchsorted(line, [low, high])
+        m = n[a:b]
+        chunk = held[np.repeat(start[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)] % chunks
+        shared = np.bincount(np.repeat(line[a:b] - low, m) * chunks + chunk, minlength=(high - low) * chunks)
+        most[low:high] = shared.reshape(-1, chunks).max(1)
+    return most
+
+
+def _shared_in_context(rows: pa.Table) -> pa.Table:
+    """``rows`` of one context with ``__shared``: for each line of each chunk the most words that one earlier chunk has too."""
+    rows = rows.take(np.argsort(rows.column("pos").to_numpy(), kind="stable"))
+    lines = rows.column("__words").combine_chunks()
+    lines = lines.chunk(0) if isinstance(lines, pa.ChunkedArray) else lines
+    per_chunk = np.diff(lines.offsets.to_numpy())
+    flat = lines.flatten()
+    hashes = flat.field("h")
+    chunk_of_line = np.repeat(np.arange(len(rows)), per_chunk)
+    line = np.repeat(np.arange(len(chunk_of_line)), np.diff(hashes.offsets.to_numpy()))
+    most = _most_shared(chunk_of_line, line, hashes.flatten().to_numpy(zero_copy_only=False), max(1, len(rows)))
+    ends = np.r_[0, np.cumsum(per_chunk)].astype(np.int32)
+    return rows.append_column("__shared", pa.ListArray.from_arrays(pa.array(ends), pa.array(most)))
+
+
+def _shared_by_join(marked: DataFrame) -> DataFrame:
+    """The same for contexts of any size: a line meets the earlier chunks through the words that they share."""
+    words = marked.select("ctx_id", "pos", F.posexplode("__words").alias("line_no", "w")).select("ctx_id", "pos", "line_no", F.explode("w.h").alias("w"))
+    earlier = words.select("ctx_id", F.col("pos").alias("p"), "w").distinct()
+    met = words.join(earlier, ["ctx_id", "w"]).where("p < pos").groupBy("ctx_id", "pos", "line_no", "p").agg(F.count(F.lit(1)).alias("c"))
+    most = met.groupBy("ctx_id", "pos", "line_no").agg(F.max("c").cast("int").alias("c")).groupBy("ctx_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "c"))).alias("__c"))
+    shared = F.transform("__words", lambda w, i: F.coalesce(F.try_element_at("__c", i), F.lit(0)))
+    return marked.join(most, ["ctx_id", "pos"], "left").withColumn("__shared", shared).drop("__c")
+
+
+def _lines(chunks: DataFrame) -> DataFrame:
+    """A row for each line of each chunk, with all of the chunk's columns, line_no, line, score, and whether it may go (``open``).
+
+    All of it happens where the context is: its windows, the comparison in one group and the lines' windows share one partitioning. A
+    context's fences pair up within a chunk, by a running count over its lines.
     """
-    out = chunks.select("ctx_id", "pos", "role", "content", F.col("__protected").alias("protected"), F.col("__n").alias("n"), F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    fence = trimmed("line").startswith("```")
+    marked = _marked(chunks)
+    small = (F.col("__n") <= SMALL) & (F.col("__bytes") <= SMALL_BYTES)
+    schema = T.StructType([*marked.schema.fields, T.StructField("__shared", T.ArrayType(T.IntegerType()))])
+    alone = SMALL > 0 and is_small(chunks)  # then no context can be too large for a group
+    every = (marked if alone else marked.where(small)).groupBy("ctx_id").applyInArrow(_shared_in_context, schema)
+    if not alone:
+        every = every.unionByName(_shared_by_join(marked.where(~small)))
+    parts = F.arrays_zip(F.split("content", "\n").alias("line"), F.col("__words").alias("w"), F.col("__shared").alias("c"))
+    out = every.select(*chunks.columns, "__protected", F.col("__n").alias("n"), F.posexplode(parts).alias("line_no", "x"))
+    out = out.select(*chunks.columns, "__protected", "n", "line_no", "x.line", F.col("x.w.n").alias("kept_words"), F.col("x.c").alias("shared"), F.size("x.w.h").alias("own_words"))
+    out = out.withColumns({"bare": trimmed("line"), "n_words": F.size(raw_words("line")), "filler": is_filler("line"), "overlap": F.col("shared") / F.greatest(F.col("own_words"), F.lit(1))})
+    fence = F.col("bare").startswith("```")
     so_far = F.sum(F.when(fence, 1).otherwise(0)).over(Window.partitionBy("ctx_id", "pos").orderBy("line_no"))
-    return out.withColumns({"bare": trimmed("line"), "fenced": fence | (so_far % 2 == 1)})
-
-
-def repetition(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``rows`` with ``overlap``: the greatest share of a line's content words that one earlier chunk holds.
-
-    A line meets the earlier chunks through the words that they share, so no task holds a context's word sets.
-    """
-    said = rows.select("ctx_id", "pos", "line_no", F.explode(F.array_distinct("words")).alias("w"))
-    earlier = chunks.select("ctx_id", F.col("pos").alias("p"), F.explode(F.array_distinct(prune_words("content"))).alias("w"))
-    met = said.join(earlier, ["ctx_id", "w"]).where("p < pos").groupBy("ctx_id", "pos", "line_no", "p").agg(F.count(F.lit(1)).alias("c"))
-    most = met.groupBy("ctx_id", "pos", "line_no").agg(F.max("c").alias("c"))
-    n = F.size(F.array_distinct("words"))
-    return rows.join(most, ["ctx_id", "pos", "line_no"], "left").withColumn("overlap", F.when(F.col("c").isNull(), 0.0).otherwise(F.col("c") / F.greatest(n, F.lit(1)))).drop("c")
+    out = out.withColumn("open", ~F.col("__protected") & ~(fence | (so_far % 2 == 1)) & (F.col("bare") != ""))
+    return out.withColumn("score", line_score())
 
 
 def line_score() -> Column:
-    """0 to 1 from role, pos, n, line, bare, words, n_words and overlap; higher: keep."""
+    """0 to 1 from role, pos, n, bare, kept_words, n_words, filler and overlap; higher: keep."""
     n_words, bare = F.col("n_words"), F.col("bare")
-    stop_ratio = 1 - F.size("words") / F.greatest(n_words, F.lit(1))
+    stop_ratio = 1 - F.col("kept_words") / F.greatest(n_words, F.lit(1))
     stop = F.when(stop_ratio > 0.7, 0.1).when(stop_ratio > 0.6, 0.3).otherwise(0.8)
     repeated = F.when(F.col("overlap") > 0.7, 0.1).when(F.col("overlap") > 0.5, 0.4).otherwise(0.9)
     heading = bare.startswith("#")
@@ -57,21 +118,19 @@ def line_score() -> Column:
 
 def line_scores(chunks: DataFrame) -> DataFrame:
     """ctx_id, pos, line_no, line, score of every line that pruning may drop: unprotected, outside fences, not blank."""
-    marked = chunks.withColumns({"__protected": is_protected(), "__n": F.count(F.lit(1)).over(per_context())})
-    rows = lines(marked).where(~F.col("protected") & ~F.col("fenced") & (F.col("bare") != ""))
-    rows = rows.withColumns({"words": prune_words("line"), "n_words": F.size(raw_words("line")), "filler": is_filler("line")})
-    return repetition(rows, chunks).withColumn("score", line_score()).select("ctx_id", "pos", "line_no", "line", "score")
+    return _lines(chunks).where("open").select("ctx_id", "pos", "line_no", "line", "score")
 
 
 def prune(chunks: DataFrame, threshold: float = 0.3, counter: TokenCounter = bytes4) -> DataFrame:
     """Chunks without the lines that score below ``threshold``; system rows and the last two user rows stay as they are.
 
-    No chunk goes: one without a visible line left holds PLACEHOLDER. Only the numbers of dropped lines are
-    joined back.
+    No chunk goes: one without a visible line left holds PLACEHOLDER. Contexts without an id go as one. Lines are put together
+    again by context and position, without another shuffle or a join.
     """
-    drops = line_scores(chunks).where(F.col("score") < threshold).groupBy("ctx_id", "pos").agg(F.collect_set("line_no").alias("__drop"))
-    out = chunks.withColumn("__protected", is_protected()).join(drops, ["ctx_id", "pos"], "left")
-    kept = F.when(F.col("__drop").isNull(), F.col("content")).otherwise(without_positions(F.split("content", "\n"), F.col("__drop")))
-    text = F.when(F.col("__protected"), F.col("content")).when(trimmed(kept) == "", PLACEHOLDER).otherwise(kept)
+    gone = F.col("open") & (F.col("score") < threshold)
+    others = [c for c in chunks.columns if c not in ("ctx_id", "pos", "content")]
+    left = F.transform(F.array_sort(F.collect_list(F.when(~gone, F.struct("line_no", "line")))), lambda x: x["line"])
+    out = _lines(chunks).groupBy("ctx_id", "pos").agg(*[F.first(c).alias(c) for c in others], F.first("__protected").alias("__protected"), F.array_join(left, "\n").alias("__kept"), F.first("content").alias("content"))
+    text = F.when(F.col("__protected"), F.col("content")).when(trimmed("__kept") == "", PLACEHOLDER).otherwise(F.col("__kept"))
     out = out.withColumn("content", text)
     return out.withColumn("token_count", F.when(F.col("__protected"), F.col("token_count")).otherwise(counter(F.col("content")))).select(*chunks.columns)

@@ -498,3 +498,20 @@ def test_a_bad_context_does_not_take_others_with_it(spark, tmp_path):
     assert seen == [1] and failed == [2]
     with pytest.raises(ValueError, match="no such folder"):
         jobs.watch(spark, f"{tmp_path}/absent", report, f"{tmp_path}/c2")
+
+
+def test_large_contexts_are_pruned_alike(spark, monkeypatch):
+    """The join of large contexts, and groups that count few meetings at once, give the same scores."""
+    df = contexts(spark, 6, 5)
+    want = sorted(map(tuple, prune.line_scores(df).collect()))
+    monkeypatch.setattr(prune, "SMALL", 0)
+    assert sorted(map(tuple, prune.line_scores(df).collect())) == want and len(want) > 20
+    monkeypatch.setattr(prune, "MEETINGS", 5)
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    of_line = np.sort(r.integers(0, 9, 30))
+    words = [np.unique(r.integers(0, 12, r.integers(0, 6))) for _ in of_line]
+    line, word = np.repeat(np.arange(30), [len(w) for w in words]), np.concatenate(words)
+    held = [set(np.concatenate([words[k] for k in np.nonzero(of_line == c)[0]] or [[]]).tolist()) for c in range(9)]
+    assert prune._most_shared(of_line, line, word, 9).tolist() == [max([len(held[c] & set(w.tolist())) for c in range(of_line[k])], default=0) for k, w in enumerate(words)]
