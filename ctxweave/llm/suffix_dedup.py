@@ -151,14 +151,58 @@ def decoded(run: dict[str, bytes]) -> Iterator[tuple[int, bytes, tuple]]:
         at, place = at + size, place + n
 
 
-def group_cuts(group: list[tuple[bytes, list[tuple]]], length: int, gram: int) -> Iterator[tuple[tuple[int, int], int, int]]:
+#: Distinct contexts of a gram up to which each pair's common stretch is measured; of more, their stretches are tabled by offset.
+PAIRED = 48
+
+
+def group_cuts(group: list[tuple[bytes, list[tuple]]], length: int, gram: int, paired: int = PAIRED) -> Iterator[tuple[tuple[int, int], int, int]]:
     """(document, start, stop) of what is to go, from suffixes that share an anchor's gram.
 
-    ``group`` has each distinct key with the (doc, text_key, places) that hold it.
+    ``group`` has each distinct key with the (doc, text_key, places) that hold it. Bit o of a mask stands for the stretch that
+    begins o bytes before the anchor.
     """
     split = [(key.partition(END)[0], key.partition(END)[2], min(d for d, _, _ in held), held) for key, held in group]
+    masks = _paired_masks(split, length, gram) if len(group) <= paired else _tabled_masks(split, length, gram)
+    for (doc, text_key, places), mask in masks:
+        while mask:
+            low = (mask & -mask).bit_length() - 1
+            high = low + (~(mask >> low) & ((mask >> low) + 1)).bit_length() - 1  # bits low to high - 1 are set
+            mask &= -1 << high
+            for p in places:
+                yield (doc, text_key), p - high + 1, p - low + length
+
+
+def _paired_masks(split: list[tuple], length: int, gram: int) -> Iterator[tuple[tuple, int]]:
+    """(document, text_key, places) and mask by the common prefixes of each two rows, forwards from the anchor and backwards."""
+    reach, n = length - gram, len(split)
+    wide, back = 8 * length, 8 * reach
+    rows = [(int.from_bytes(r.ljust(length, b"\0"), "big"), len(r), int.from_bytes(b.ljust(reach, b"\0"), "big"), len(b), least) for r, b, least, _ in split]
+    found: list[list[tuple[int, int]]] = [[] for _ in split]  # for each row the least document and the mask of another
+    for i, (right, nr, left, nl, least) in enumerate(rows):
+        if nr + nl >= length:
+            found[i].append((least, (2 << nl) - (1 << max(0, length - nr))))
+        for j in range(i + 1, n):
+            right_, nr_, left_, nl_, least_ = rows[j]
+            low = length - min(nr, nr_, (wide - (right ^ right_).bit_length()) >> 3)
+            high = min(nl, nl_, (back - (left ^ left_).bit_length()) >> 3)
+            if high >= low:
+                mask = (2 << high) - (1 << max(0, low))
+                found[i].append((least_, mask))
+                found[j].append((least, mask))
+    for i, near in enumerate(found):
+        for one in split[i][3]:
+            mask = 0
+            for least, m in near:
+                if least < one[0]:
+                    mask |= m
+            if mask:
+                yield one, mask
+
+
+def _tabled_masks(split: list[tuple], length: int, gram: int) -> Iterator[tuple[tuple, int]]:
+    """The same by tables of the least document of each stretch, offset by offset."""
     seen: list[dict[tuple, int]] = []
-    for o in range(length - gram + 1):  # stretches that begin o bytes before the anchor
+    for o in range(length - gram + 1):
         least: dict[tuple, int] = {}
         for right, left, doc, _ in split:
             if len(left) >= o and len(right) >= length - o:
@@ -168,17 +212,10 @@ def group_cuts(group: list[tuple[bytes, list[tuple]]], length: int, gram: int) -
         seen.append(least)
     for right, left, _, held in split:
         first = [seen[o].get((left[:o], right[: length - o])) if len(left) >= o and len(right) >= length - o else None for o in range(length - gram + 1)]
-        for doc, text_key, places in held:
-            o = 0
-            while o < len(first):
-                if first[o] is not None and first[o] < doc:
-                    to = o
-                    while to + 1 < len(first) and first[to + 1] is not None and first[to + 1] < doc:
-                        to += 1
-                    for p in places:
-                        yield (doc, text_key), p - to, p - o + length
-                    o = to
-                o += 1
+        for one in held:
+            mask = sum(1 << o for o, f in enumerate(first) if f is not None and f < one[0])
+            if mask:
+                yield one, mask
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:
@@ -316,7 +353,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFra
     Every byte goes that is covered by a string of ``length`` bytes which
     also starts in a document with a smaller doc_id; strings are those of the input, and never cross
     documents. Null text is empty. Rows with a null doc_id keep their text and take part in nothing. Rows with
-    equal ids never cut each other. Other columns are ignored.
+    equal ids never cut each other. Other columns are ignored. A very long text is searched in one task, which holds it, the
+    hashes of its places and the suffixes at its anchors; its cuts come together in one task as byte ranges.
 
     Of equal texts only that of the smallest doc_id is searched; the others go whole, unless they are
     shorter than ``length``. Only suffixes that start at anchors (see ``anchors``; 2 of about ``length - gram``

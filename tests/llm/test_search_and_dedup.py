@@ -133,12 +133,43 @@ def test_suffix_dedup_small(spark):
         suffix_dedup.remove_repeats(rows_of(spark, []), 20)
 
 
+def test_pairs_and_tables_find_the_same_stretches():
+    r = np.random.default_rng(17)
+    some = 0
+    for _ in range(300):
+        gram, group = bytes(r.integers(97, 99, 20).tolist()), {}
+        for _ in range(r.integers(2, 9)):
+            right, left = (bytes(r.integers(97, 99, n).tolist()) for n in (r.integers(0, 31), r.integers(0, 31)))
+            if r.random() < 0.7:
+                right, left = (b"a" * 30)[: len(right)] if r.random() < 0.7 else right, (b"a" * 30)[: len(left)] if r.random() < 0.7 else left
+            group.setdefault(gram + right + suffix_dedup.END + left, {})[int(r.integers(0, 5))] = [100, 300]
+        group = [(k, [(d, t, [at[t]]) for d, at in v.items() for t in (0, 1)]) for k, v in sorted(group.items())]
+
+        def covered(limit):
+            out = defaultdict(set)
+            for doc, a, b in suffix_dedup.group_cuts(group, 50, 20, limit):
+                out[doc].update(range(a, b))
+            return out
+
+        assert covered(48) == covered(0)
+        some += bool(covered(0))
+    assert some > 20
+
+
 def test_suffix_dedup_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: tuple(r)[1:] for r in queries.op6_suffix_dedup(spark, SF).collect()}
     assert got == suffix_dedup.brute_force([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_suffix_dedup_of_very_long_texts(spark):
+    r = np.random.default_rng(18)
+    long = "".join(r.choice(list("abcdefghij "), 300_000))
+    rows = [(1, long), (2, "new start " + long[1000:250_000] + " new end"), (3, "z" * 100_000), (4, "y" + "z" * 60_000)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.remove_repeats(rows_of(spark, rows), 50).collect()}
+    assert got == {i: v[:3] for i, v in suffix_dedup.brute_force(rows).items()}
+
+
 def test_loser_tree_merges_without_looking_twice():
     r = np.random.default_rng(5)
     runs = [sorted({bytes(r.integers(97, 99, r.integers(0, 12)).tolist()) for _ in range(r.integers(0, 40))}) for _ in range(7)]
@@ -240,14 +271,31 @@ def test_documents_with_a_common_phrase_are_no_family(spark):
         assert 100 * both < 85 * (n[i] + n[40 + i] - both) or groups.root(40 + i) == i
 
 
-@pytest.mark.parametrize("compared", [0, 3])
-def test_near_duplicates_of_frequent_tokens(spark, monkeypatch, compared):
+@pytest.mark.parametrize(("compared", "block"), [(0, 3), (3, 512)])
+def test_near_duplicates_of_frequent_tokens(spark, monkeypatch, compared, block):
     monkeypatch.setattr(ngram_join, "COMPARED", compared)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
     rows = near_rows()
     got = ngram_join.near_duplicates(rows_of(spark, rows).repartition(3), 4, 85, 4000).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
 
 
+def test_a_large_family_of_chains(spark, monkeypatch):
+    """Copies of copies: neighbours link, ends don't, so hubs alone join few of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "COMPARED", 0)
+    r = np.random.default_rng(16)
+    words, rows = [f"a{k}" for k in range(120)], []
+    for i in range(90):
+        rows.append((int(r.permutation(90)[0]) * 1000 + i, " ".join(words)))
+        step = 4 if i % 13 else 40  # a wide step parts the chain
+        for at in range(i * 4, i * 4 + step):
+            words[at % 120] = f"b{i}x{at}"
+    got = ngram_join.near_duplicates(rows_of(spark, rows), 2, 80).collect()
+    want = brute_components(rows, 2, 80)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want and 3 < len({c for _, c in want.values()}) < 30
+
+
 def test_near_duplicates_of_very_long_texts(spark):
     r = np.random.default_rng(15)
     words = [f"w{k}" for k in r.integers(0, 10**7, 120_000)]
