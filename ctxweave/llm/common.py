@@ -97,9 +97,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _at_end() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        clear(spark)
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            clear(spark)
+    except Exception:  # noqa: S110 - the JVM may have gone first
+        pass
     for path in _STAGED:  # the session has ended: folders of this machine can still go, others stay for the folder's owner
         if path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)

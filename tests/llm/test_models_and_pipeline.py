@@ -97,6 +97,11 @@ def test_language_id_odd_rows(spark):
     df = spark.createDataFrame([(i, t, "x", "y", True) for i, t in rows], "doc_id long, text string, score string, lang string, held_out boolean")
     got = [(r.doc_id, r.lang_pred) for r in language_id.identify(df, model).collect()]
     assert sorted(got, key=str) == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "fr"), (4, "en"), (5, "fr")], key=str)
+    assert language_id.identify(df.where("false").withColumn("lang_pred", F.lit("x")), model).count() == 0
+    clash = language_id.identify(df.withColumns({"lang_pred": F.lit("x"), "label": F.lit("y")}), model)
+    assert clash.columns == ["doc_id", "held_out", "lang_pred", "score"] and "x" not in {r.lang_pred for r in clash.collect()}
+    even = language_id.Ppm({"b": [b"same text"], "a": [b"same text"]}).predict(["some text"])
+    assert even == (["a"], [0.5])  # of equal ones the first by name
     untaught = language_id.train(df.where("false"), F.lit(True))
     assert [r.lang_pred for r in language_id.identify(df, untaught).collect()] == ["und"] * 7
 

@@ -94,12 +94,13 @@ def test_trees_of_64_dimensions_have_levels_and_prune_copies():
     pts = np.concatenate([unit(r.normal(size=(3000, 64))), unit(r.normal(size=(1, 64)) + r.normal(0, 0.02, (300, 64)))])
     tree, asked = checked_tree(pts, cover_tree.LEAF), np.arange(0, 3300, 20)
     assert tree.kids[0] and tree.kids[1:].any()
-    search = cover_tree.Search(pts[asked], asked, 20)
-    assert search.tree.kids[0]
-    search.add(pts, np.arange(3300))
-    assert search.pruned > 0 and search.points_pruned > 15 * 500
     want = brute_top([*enumerate(pts.tolist())], [(int(a), pts[a].tolist()) for a in asked], 20)
-    assert sorted((int(q), r + 1, int(i), int(x)) for q, (s, d) in zip(asked, search.top.best, strict=True) for r, (x, i) in enumerate(zip(s, d, strict=True))) == want
+    for leaf, query_leaf, least in ((cover_tree.LEAF, cover_tree.QUERY_LEAF, 1), (64, 32, 15 * 500)):  # smaller leaves prune more, and take longer
+        search = cover_tree.Search(pts[asked], asked, 20, cover_tree.CoverTree(pts[asked], query_leaf))
+        assert search.tree.kids[0]
+        search.add(pts, np.arange(3300), cover_tree.CoverTree(pts, leaf))
+        assert search.pruned > 0 and search.points_pruned >= least
+        assert sorted((int(q), r + 1, int(i), int(x)) for q, (s, d) in zip(asked, search.top.best, strict=True) for r, (x, i) in enumerate(zip(s, d, strict=True))) == want
 
 
 def test_rounds_share_what_they_know(spark):
