@@ -702,3 +702,55 @@ def metrics_after_reset(spark, d):
     """Totals since the last reset."""
     resets = table(spark, d, "events").where("event_id % 1000 = 0").select(F.col("event_id").alias("request_id"))
     return metrics.request_totals(metrics.after_reset(request_log(spark, d), resets))
+
+
+@query("""SELECT event_id, event_id % 4 IN (0, 1) AS looks FROM events""")
+def transcript_sniff(spark, d):
+    """Texts that are read as transcripts: by their name, or by a brace at the start of their first line that isn't blank."""
+    e = F.col("event_id")
+    path = F.when(e % 4 == 0, "a.jsonl").when(e % 4 == 2, "a.json")
+    raw = F.when(e % 4 == 1, " \n {}").otherwise("[1]")
+    return table(spark, d, "events").select("event_id", transcript.is_transcript(path, raw).alias("looks"))
+
+
+FENCED = """m AS (SELECT conv_id AS ctx_id, turn AS pos0, CASE WHEN turn % 2 = 0 THEN 'assistant' ELSE role END AS role, 'sure thing' || chr(10) || '```' || chr(10) || 'ok' || chr(10) || '# x' || chr(10) || '  ```' || chr(10) || coalesce(text, '') || chr(10) || '```js' || chr(10) || 'got it' AS content, NULL::DOUBLE AS given FROM conversations)"""
+
+
+@query(from_chunks(FENCED, f"SELECT {COLS} FROM pru", prune_sql("chunks", "pru", 0.6)))
+def prune_fences(spark, d):
+    """Filler in fences stays, also in one that is never closed; the same filler before them goes."""
+    role = F.when(F.col("turn") % 2 == 0, "assistant").otherwise(F.col("role"))
+    content = F.concat(F.lit("sure thing\n```\nok\n# x\n  ```\n"), F.coalesce("text", F.lit("")), F.lit("\n```js\ngot it"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("ctx_id"), F.col("turn").alias("pos"), role.alias("role"), content.alias("content"))
+    return shown(prune.prune(chunks.build_chunks(rows), 0.6))
+
+
+@query("""SELECT conv_id * 4 + k AS request_id, k = 0 AS was_optimized, k = 1 AS was_fallback, CASE WHEN k = 0 THEN t ELSE 0 END AS original_tokens, CASE WHEN k = 0 THEN t ELSE 0 END AS optimized_tokens, true AS unchanged
+FROM (SELECT conv_id, sum(ceil(strlen(text) / 4.0))::BIGINT AS t FROM conversations GROUP BY conv_id), (SELECT unnest([0, 1, 2, 3]) AS k)""")
+def requests_dry_run(spark, d):
+    """Measured and sent on as they came: requests that fit, whose messages don't, without messages, and to another path."""
+    raw = _raw(spark, d, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    chat = F.concat(F.lit('{"model":"m","messages":'), "raw", F.lit("}"))
+    bodies = F.array(chat, F.lit('{"messages":[{"role":"user","content":7}]}'), F.lit('{"messages":[]}'), chat)
+    rows = raw.select("ctx_id", F.posexplode(bodies).alias("k", "body")).select((F.col("ctx_id") * 4 + F.col("k")).alias("request_id"), F.when(F.col("k") == 3, "/v1/models").otherwise("/v1/chat/completions").alias("path"), "body")
+    done = optimize_requests(rows, ["bookend"], dry_run=True).withColumnRenamed("body", "sent")
+    return done.join(rows, "request_id").select("request_id", "was_optimized", "was_fallback", "original_tokens", "optimized_tokens", (F.col("sent") == F.col("body")).alias("unchanged"))
+
+
+class SaysTheSame:
+    """A provider whose answers SQL knows."""
+
+    def complete(self, system: str, prompt: str) -> str:
+        return "one\n* two"
+
+
+@query(from_chunks(DOCS, f"SELECT {COLS} FROM done", f"""{ZONES},
+told AS (SELECT *, 1 AS rk FROM zone WHERE zone <> 'archived'),
+said AS (SELECT * REPLACE ('- one' || chr(10) || '* two' AS content, 3 AS token_count) FROM told WHERE zone = 'aging' UNION ALL SELECT * FROM told WHERE zone <> 'aging'
+UNION ALL SELECT DISTINCT ON (ctx_id) * REPLACE (0 AS pos, 0 AS chunk_index, 'system' AS role, '{summarize.SUMMARY_HEAD.strip()}' || chr(10) || 'one' || chr(10) || '* two' AS content, ceil({len(summarize.SUMMARY_HEAD) + 9} / 4.0)::BIGINT AS token_count, 0.8 AS relevance_score, 'strong' AS attention_zone), 0 FROM zone WHERE zone = 'archived'),
+sums AS (SELECT ctx_id, (SELECT sum(token_count) FROM said x WHERE x.ctx_id = c.ctx_id) < sum(token_count) AS shrunk FROM chunks c GROUP BY ctx_id),
+done AS (SELECT ctx_id, row_number() OVER (PARTITION BY ctx_id ORDER BY rk, pos) - 1 AS pos, chunk_index, role, content, token_count, relevance_score, attention_zone FROM said JOIN sums USING (ctx_id) WHERE shrunk
+UNION ALL SELECT c.ctx_id, c.pos, c.chunk_index, c.role, c.content, c.token_count, c.relevance_score, c.attention_zone FROM chunks c JOIN sums USING (ctx_id) WHERE NOT shrunk)"""))
+def summarize_provider(spark, d):
+    """Archived turns as one summary, aging ones as bullets, by a provider."""
+    return shown(summarize.summarize(documents(spark, d), SaysTheSame()))
