@@ -244,7 +244,7 @@ def repeated_cuts(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     See ``remove_repeats``. ``docs`` has doc_id (not null), text_key and text (not null).
     """
     buckets = bucket_count(docs)
-    parts = 1 << max(6, min(20, (input_bytes(docs) // (4 << 20)).bit_length()))
+    parts = 1 << max(8, min(20, (input_bytes(docs) // (1 << 19)).bit_length()))
     found = shared_keys(docs, lambda texts: anchors([t.encode() for t in texts], length, gram)[1:], 0.0, buckets).where("keys is not null").select("doc_id", "text_key", "keys")
     reach = length - gram
 
