@@ -246,15 +246,15 @@ def _family_links(rows: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     place = stage(place.join(bands, ["fam", "band"]).select("cls", "fam", "one", "row", block.alias("blk")), "places")
     own = place.select("cls", "fam", "blk", F.col("cls").alias("comp"), F.lit(True).alias("held"), F.lit(True).alias("asks"))
     cut = place.where("not one")
+    sets = rows.select("cls", "n", "keys", "classes")
+    join = lambda t: _block_links(t, percent)
+    if cut.isEmpty():
+        return own.join(sets, "cls").groupBy("fam", "blk").applyInArrow(join, "u long, v long")
     hubs = cut.groupBy("fam", "row").agg(F.array_distinct(F.array(F.min("cls"), F.max("cls"), F.min_by("cls", F.xxhash64("cls")))).alias("hubs")).select("fam", F.explode(F.array("row", F.col("row") + 1)).alias("row"), F.explode("hubs").alias("cls"))
     blocks = cut.select("fam", "row", "blk").distinct()
     visits = hubs.join(blocks, ["fam", "row"]).join(place.select("cls", F.col("blk").alias("home")), "cls").where("blk <> home")
     visits = visits.select("cls", "fam", "blk", F.col("cls").alias("comp"), F.lit(True).alias("held"), F.lit(True).alias("asks"))
-    sets = rows.select("cls", "n", "keys", "classes")
-    join = lambda t: _block_links(t, percent)
     links = stage(own.unionByName(visits).join(sets, "cls").groupBy("fam", "blk").applyInArrow(join, "u long, v long"), "block-links")
-    if cut.isEmpty():
-        return links
     joined = components(links)
     told = stage(cut.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "fam", "row", "blk", F.coalesce("component", "cls").alias("comp")), "told")
     largest = told.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("fam").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))

@@ -75,7 +75,8 @@ def shard_rows(df: DataFrame, key: Column, shards: int, ties: list[Column], virt
 
     One small aggregation gives the rows of each place (at most PLACES * SUBS numbers for the driver),
     and one shuffle of the rows ranks them. A key that many rows share is cut over SUBS sub-ranks by
-    ``ties``. Empty table: no rows. Existing columns called like the new ones are replaced.
+    ``ties``. Of the columns only the key and ``ties`` are looked at, so a long text costs its way through that one shuffle, or nothing if
+    it is left out of ``df``. Empty table: no rows. Existing columns called like the new ones are replaced.
     """
     spark = df.sparkSession
     h = F.xxhash64(key)

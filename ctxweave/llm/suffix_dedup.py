@@ -200,22 +200,24 @@ def _paired_masks(split: list[tuple], length: int, gram: int) -> Iterator[tuple[
 
 
 def _tabled_masks(split: list[tuple], length: int, gram: int) -> Iterator[tuple[tuple, int]]:
-    """The same by tables of the least document of each stretch, offset by offset."""
-    seen: list[dict[tuple, int]] = []
+    """The same by a table of the least document of each stretch, one offset after the other, so one table is held at a time."""
+    masks = [[0] * len(held) for _, _, _, held in split]
     for o in range(length - gram + 1):
         least: dict[tuple, int] = {}
-        for right, left, doc, _ in split:
-            if len(left) >= o and len(right) >= length - o:
-                w = left[:o], right[: length - o]
-                if least.get(w, doc) >= doc:
-                    least[w] = doc
-        seen.append(least)
-    for right, left, _, held in split:
-        first = [seen[o].get((left[:o], right[: length - o])) if len(left) >= o and len(right) >= length - o else None for o in range(length - gram + 1)]
-        for one in held:
-            mask = sum(1 << o for o, f in enumerate(first) if f is not None and f < one[0])
-            if mask:
-                yield one, mask
+        fits = [i for i, (right, left, _, _) in enumerate(split) if len(left) >= o and len(right) >= length - o]
+        for i in fits:
+            right, left, doc, _ = split[i]
+            w = left[:o], right[: length - o]
+            if least.get(w, doc) >= doc:
+                least[w] = doc
+        for i in fits:
+            right, left, _, held = split[i]
+            first = least[left[:o], right[: length - o]]
+            for k, one in enumerate(held):
+                if first < one[0]:
+                    masks[i][k] |= 1 << o
+    for (_, _, _, held), found in zip(split, masks, strict=True):
+        yield from ((one, m) for one, m in zip(held, found, strict=True) if m)
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:
