@@ -82,6 +82,20 @@ def test_duplicates_against_all_pairs(spark):
             assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
+def test_pairs_of_large_contexts_meet_block_by_block(spark, monkeypatch):
+    """Several blocks of several contexts, copies, empty texts; and no join that pairs words with words."""
+    rows = [(c, i, "user", " ".join(f"w{(i * k * 7 + c) % 23}x{k}" for k in range(i % 9))) for c in (1, 2) for i in range(60)]
+    df = chunks.build_chunks(spark.createDataFrame(rows, "ctx_id long, pos long, role string, content string"))
+    want = sorted(map(tuple, duplication.duplicate_pairs(df).collect()))
+    assert want
+    monkeypatch.setattr(duplication, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(duplication, "STEP", 7)
+    monkeypatch.setattr(duplication, "MEETINGS", 300)
+    got = duplication.duplicate_pairs(df, small=0)
+    assert sorted(map(tuple, got.collect())) == want
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("SortMergeJoin", "BroadcastHashJoin", "Exchange hashpartitioning(w"))
+
+
 def test_health_of_empty_single_and_identical(spark):
     assert health.analyze(chat(spark, ("user", "x")).where("false")).count() == 0
     one = health.analyze(chat(spark, ("user", "hello"))).first()
