@@ -27,21 +27,20 @@ def dedup_exact(chunks: DataFrame) -> DataFrame:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """Cosine in single precision over the shorter length, norms over all of each; 0 for a zero norm."""
+    """Cosine in double precision over the shorter length, norms over all of each; 0 for a zero norm."""
     n = min(len(a), len(b))
-    na, nb = np.sqrt(np.sum(a * a, dtype=np.float32)), np.sqrt(np.sum(b * b, dtype=np.float32))
-    if na == 0 or nb == 0:
-        return 0.0
-    return float(np.clip(np.sum(a[:n] * b[:n], dtype=np.float32) / (na * nb), -1, 1))
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    size = np.sqrt(a @ a) * np.sqrt(b @ b)
+    return float(np.clip(a[:n] @ b[:n] / size, -1, 1)) if size > 0 else 0.0
 
 
 def cosine_rows(vectors: list[np.ndarray], block: int = 256) -> Iterator[np.ndarray]:
     """For each vector its cosine with all; vectors of one length as products of ``block`` rows with the whole matrix."""
     if len({len(v) for v in vectors}) > 1:
-        yield from (np.array([cosine(a, b) for b in vectors], np.float32) for a in vectors)
+        yield from (np.array([cosine(a, b) for b in vectors]) for a in vectors)
         return
-    m = np.stack(vectors) if vectors else np.zeros((0, 0), np.float32)
-    norm = np.sqrt((m * m).sum(1, dtype=np.float32))
+    m = np.stack(vectors).astype(np.float64) if vectors else np.zeros((0, 0))
+    norm = np.sqrt((m * m).sum(1))
     for at in range(0, len(m), block):
         size = norm[at : at + block, None] * norm[None, :]
         yield from np.clip(np.divide(m[at : at + block] @ m.T, size, out=np.zeros_like(size), where=size > 0), -1, 1)

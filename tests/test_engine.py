@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,12 @@ def test_semantic_dedup(spark):
     assert len(by_ctx(dedup.dedup_semantic(chat(spark, ("user", "single"))))[1]) == 1
 
 
+def test_cosines_at_a_threshold_are_as_in_sql():
+    """A cosine of just 0.7 isn't below 0.7, as single precision has it."""
+    a, b = (np.array(x, np.float32) for x in ([2, 4, 1, 2, 2, 4, 0, 0], [2, 5, 0, 1, 0, 4, 3, 5]))
+    assert dedup.cosine(a, b) == 0.7 and [x[1 - i] for i, x in enumerate(dedup.cosine_rows([a, b]))] == [0.7, 0.7]
+
+
 def test_summarize(spark):
     class Echo:
         def complete(self, system, prompt):
