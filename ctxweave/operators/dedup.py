@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.tokens import TokenCounter, bytes4
 from ..sources.providers import EmbeddingProvider
 from .chunks import with_dense_positions
-from .tfidf import TfIdf
+from .tfidf import Sparse, TfIdf
 
 #: A sentence of a dropped chunk is kept where it is less alike to the kept chunk than this.
 NOVEL = 0.7
@@ -51,6 +51,66 @@ def sentences(text: str) -> list[str]:
     return [s for s in pieces if len(s.encode()) > 5]
 
 
+class _Densely:
+    """Vectors of any provider."""
+
+    def __init__(self, texts: list[str], provider: EmbeddingProvider, shared_vocabulary: bool):
+        self.texts, self.provider, self.shared_vocabulary = texts, provider, shared_vocabulary
+        self.vectors = [np.asarray(v, np.float32) for v in provider.embed(texts)]
+        if len(self.vectors) != len(texts):
+            raise ValueError(f"{len(self.vectors)} vectors for {len(texts)} chunks")
+        self.own: list[np.ndarray] = []
+        self.first: list[int] = []
+
+    def alike(self, threshold: float) -> Iterator[Callable[[], list[int]]]:
+        """For each chunk what gives the later ones like it."""
+        for i, x in enumerate(cosine_rows(self.vectors)):
+            yield lambda: (np.nonzero(x[i + 1 :] >= threshold)[0] + i + 1).tolist()  # noqa: B023
+
+    def to_kept(self, drop: int, parts: list[str], keep: int) -> list[float]:
+        """The cosines of a chunk's sentences with another chunk."""
+        if not self.shared_vocabulary:
+            return [cosine(np.asarray(v, np.float32), self.vectors[keep]) for v in self.provider.embed(parts)]
+        if not self.own:  # all chunks and all their sentences, once
+            every = [sentences(t) for t in self.texts]
+            self.first = [*accumulate([len(self.texts), *(len(x) for x in every)])]
+            self.own = [np.asarray(v, np.float32) for v in self.provider.embed([*self.texts, *(s for x in every for s in x)])]
+        return [cosine(v, self.own[keep]) for v in self.own[self.first[drop] : self.first[drop] + len(parts)]]
+
+
+class _Sparsely:
+    """The same by TF-IDF, without a matrix of chunks and words; equal texts are compared once."""
+
+    def __init__(self, texts: list[str], provider: TfIdf, shared_vocabulary: bool):
+        self.texts, self.provider, self.shared_vocabulary = texts, provider, shared_vocabulary
+        self.vectors = provider.sparse(texts)
+        self.own: Sparse | None = None
+        self.first: list[int] = []
+
+    def alike(self, threshold: float) -> Iterator[Callable[[], list[int]]]:
+        copies: dict[str, list[int]] = {}
+        for i, t in enumerate(self.texts):
+            copies.setdefault(t, []).append(i)
+        of = [copies[t] for t in self.texts]
+        first = np.array([c[0] for c in of])
+        links: dict[int, list[int]] = {}  # between first copies
+        for i, later in enumerate(self.vectors.alike(threshold, np.unique(first))):
+            for j in later.tolist():
+                links.setdefault(i, []).append(j)
+                links.setdefault(j, []).append(i)
+        for i, mine in enumerate(of):
+            a = mine[0]
+            yield lambda: sorted(j for x in [*links.get(a, []), *([a] if self.vectors.norm[a] > 0 and threshold <= 1 else [])] for j in of[x] if j > i)  # noqa: B023
+
+    def to_kept(self, drop: int, parts: list[str], keep: int) -> list[float]:
+        if not self.shared_vocabulary:
+            return self.provider.sparse(parts).cosines(0, len(parts), self.vectors, keep).tolist()
+        if self.own is None:  # all chunks and all their sentences, once
+            self.first = [*accumulate([len(self.texts), *(len(sentences(t)) for t in self.texts)])]
+            self.own = self.provider.sparse(chain(self.texts, (s for t in self.texts for s in sentences(t))))
+        return self.own.cosines(self.first[drop], self.first[drop] + len(parts), self.own, keep).tolist()
+
+
 def resolve(texts: list[str], tokens: list[int], provider: EmbeddingProvider, threshold: float, shared_vocabulary: bool) -> tuple[list[int], dict[int, list[str]]]:
     """Positions that stay, and sentences that are added to them.
 
@@ -59,31 +119,19 @@ def resolve(texts: list[str], tokens: list[int], provider: EmbeddingProvider, th
     before that. With ``shared_vocabulary`` sentences are compared by vectors over all chunks of the context and all their
     sentences, else by vectors of their own.
     """
-    vectors = [np.asarray(v, np.float32) for v in provider.embed(texts)]
-    if len(vectors) != len(texts):
-        raise ValueError(f"{len(vectors)} vectors for {len(texts)} chunks")
+    use = _Sparsely(texts, provider, shared_vocabulary) if isinstance(provider, TfIdf) and threshold > 0 else _Densely(texts, provider, shared_vocabulary)
     gone: set[int] = set()
     added: dict[int, list[str]] = {}
-    own: list[np.ndarray] = []
-    first: dict[int, int] = {}
-    for i, alike_to in enumerate(cosine_rows(vectors)):
+    for i, alike_to in enumerate(use.alike(threshold)):
         if i in gone:
             continue
-        for j in (np.nonzero(alike_to[i + 1 :] >= threshold)[0] + i + 1).tolist():
+        for j in alike_to():
             if j in gone:
                 continue
             keep, drop = (i, j) if tokens[i] >= tokens[j] else (j, i)
             parts = sentences(texts[drop])
             if len(parts) > 1:
-                if shared_vocabulary:
-                    if not own:  # all chunks and all their sentences, once
-                        every = [sentences(t) for t in texts]
-                        first = dict(zip(range(len(texts)), accumulate([len(texts), *(len(x) for x in every)])))
-                        own = [np.asarray(v, np.float32) for v in provider.embed([*texts, *(s for x in every for s in x)])]
-                    alike = [cosine(v, own[keep]) for v in own[first[drop] : first[drop] + len(parts)]]
-                else:
-                    alike = [cosine(np.asarray(v, np.float32), vectors[keep]) for v in provider.embed(parts)]
-                added.setdefault(keep, []).extend(s for s, x in zip(parts, alike, strict=True) if x < NOVEL)
+                added.setdefault(keep, []).extend(s for s, x in zip(parts, use.to_kept(drop, parts, keep), strict=True) if x < NOVEL)
             gone.add(drop)
     return [i for i in range(len(texts)) if i not in gone], {k: v for k, v in added.items() if v}
 
@@ -102,8 +150,9 @@ def dedup_semantic(chunks: DataFrame, provider: EmbeddingProvider | None = None,
         pdf = pdf.sort_values("pos").reset_index(drop=True)
         stay, added = resolve(pdf["content"].tolist(), pdf["token_count"].tolist(), use, threshold, shared_vocabulary)
         pdf["__changed"] = False
+        staying = set(stay)
         for i, extra in added.items():
-            if i in stay:
+            if i in staying:
                 pdf.loc[i, "content"] = pdf.loc[i, "content"] + "\n\n[merged from duplicate]: " + ". ".join(extra)
                 pdf.loc[i, "__changed"] = True
         return pdf.loc[stay]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxweave.functions import pricing, text
-from ctxweave.operators import bookend, budget, chunks, compaction, dedup, diff, duplication, health, metrics, prune, structural, summarize
+from ctxweave.operators import bookend, budget, chunks, compaction, dedup, diff, duplication, health, metrics, prune, structural, summarize, tfidf
 from ctxweave.plans import commands, pipeline
 from ctxweave.sources import config, formats, providers, state, transcript
 from ctxweave.streaming import jobs
@@ -135,6 +135,23 @@ def test_semantic_dedup(spark):
     assert len(by_ctx(dedup.dedup_semantic(chat(spark, ("user", "single"))))[1]) == 1
 
 
+def test_semantic_dedup_without_a_matrix_of_words(monkeypatch):
+    """As by dense vectors of all chunks, with copies, near copies, empty and wordless texts; and those are never made."""
+    class Dense:
+        def embed(self, texts):
+            return tfidf.TfIdf().embed(texts)
+
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(3, 30))) for _ in range(25)]
+    texts = [*base, *base[:6], "", "", "the", *(f"{t}. {rng.choice(base)}\nand w{rng.randrange(90)} new" if rng.random() < 0.4 else t + f" w{k}" for k, t in enumerate(base))]
+    rng.shuffle(texts)
+    tokens = [len(t.encode()) // 4 for t in texts]
+    want = {(t, s): dedup.resolve(texts, tokens, Dense(), t, s) for t in (0.3, 0.6, 0.85) for s in (False, True)}
+    assert any(added for _, added in want.values())
+    monkeypatch.setattr(tfidf.TfIdf, "embed", None)
+    assert {k: dedup.resolve(texts, tokens, tfidf.TfIdf(), *k) for k in want} == want
+
+
 def test_cosines_at_a_threshold_are_as_in_sql():
     """A cosine of just 0.7 isn't below 0.7, as single precision has it."""
     a, b = (np.array(x, np.float32) for x in ([2, 4, 1, 2, 2, 4, 0, 0], [2, 5, 0, 1, 0, 4, 3, 5]))
