@@ -90,11 +90,14 @@ def trimmed(text: str | Column) -> Column:
 
 
 def is_filler(text: str | Column) -> Column:
-    lower = F.lower(col(text))
-    out = F.lit(False)
-    for phrase in FILLER:
-        out = out | F.contains(lower, F.lit(phrase))
-    return out
+    def holds(lower: Column) -> Column:
+        out = F.lit(False)
+        for phrase in FILLER:
+            out = out | F.contains(lower, F.lit(phrase))
+        return out
+
+    # the text is bound to a variable, so it is lower-cased once
+    return F.transform(F.array(F.lower(col(text))), holds)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -553,3 +553,24 @@ def test_large_contexts_are_pruned_alike(spark, monkeypatch):
     line, word = np.repeat(np.arange(30), [len(w) for w in words]), np.concatenate(words)
     held = [set(np.concatenate([words[k] for k in np.nonzero(of_line == c)[0]] or [[]]).tolist()) for c in range(9)]
     assert prune._most_shared(of_line, line, word, 9).tolist() == [max([len(held[c] & set(w.tolist())) for c in range(of_line[k])], default=0) for k, w in enumerate(words)]
+
+
+def test_large_contexts_meet_block_by_block(spark, monkeypatch):
+    """Several blocks and hubs of a context, mixed with small contexts and one without an id, give the same scores, by broadcast and by join; words meet in no join, and no line is shuffled."""
+    from ctxweave.operators import overlap
+
+    df = contexts(spark, 7, 9).withColumn("ctx_id", F.when(F.col("ctx_id") != 3, F.col("ctx_id")))
+    rows = lambda f: sorted(repr(tuple(r)) for r in f.collect())
+    want, pruned = rows(prune.line_scores(df)), rows(prune.prune(df, 0.6))
+    sizes = [r["count"] for r in df.groupBy("ctx_id").count().collect()]
+    for k, v in {"BLOCK_BYTES": 1500, "WAVE_BYTES": 4000, "STEP": 2, "HUBS": 1, "CELLS": 20, "WORDS": 40}.items():
+        monkeypatch.setattr(overlap, k, v)
+    monkeypatch.setattr(prune, "is_small", lambda df: False)
+    for small, told in ((0, 1 << 20), (sorted(sizes)[2], 1 << 20), (0, -1), (max(sizes), 0)):
+        monkeypatch.setattr(prune, "SMALL", small)
+        monkeypatch.setattr(prune, "TOLD_BYTES", told)
+        scores = prune.line_scores(df)
+        assert rows(scores) == want and len(want) > 20
+        assert rows(prune.prune(df, 0.6)) == pruned
+        plan = scores._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") == 1 and plan.count("Join") == (small < max(sizes))
