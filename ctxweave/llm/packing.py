@@ -67,11 +67,11 @@ class ByteBpe:
 
     def _learn(self, units: list[str]) -> None:
         ids = np.asarray(self.fast("\n".join(units)), "<u4")
-        cuts = np.nonzero(ids == self.line_end)[0]
+        cuts = 4 * np.nonzero(ids == self.line_end)[0]
         if len(cuts) != len(units) - 1:
             raise ValueError("this vocabulary does not keep line ends apart")
-        raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-        self.units.update((u, raw[4 * a + 4 : 4 * b]) for u, a, b in zip(units, edges[:-1], edges[1:], strict=True))
+        raw, begin, end = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)]
+        self.units.update(zip(units, map(raw.__getitem__, map(slice, begin, end)), strict=True))
         some = units[::CHECKED]
         if self.ids("\n".join(some)).tobytes() != self.start["\n"].join(self.units[u] for u in some):
             raise ValueError("the rank file is not of the library's vocabulary")
@@ -89,10 +89,10 @@ class ByteBpe:
             if len(self.units) + len(new) > self.cached:
                 self.units = dict(self.start)
                 new = every.difference(self.units)
-            short = sorted(u for u in new if len(u) <= LONGEST)
+            long = [u for u in new if len(u) > LONGEST]
+            short = list(new.difference(long) if long else new)
             for k in range(0, len(short), 20_000):
                 self._learn(short[k : k + 20_000])
-            long = new.difference(short)
             self.units.update((u, self.ids(u).tobytes()) for u in long)
             get = self.units.__getitem__
             for t, units in zip(texts[at:to], cut, strict=True):
@@ -178,7 +178,8 @@ class Packer:
         while tokens and segments and self.waiting:
             d = self.demand[: len(self.waiting)]
             score = d @ left
-            score[(d > left + 1e-9).any(axis=1)] = -1
+            a, b, c = left + 1e-9
+            score[(d[:, 0] > a) | (d[:, 1] > b) | (d[:, 2] > c)] = -1
             i = int(score.argmax())
             if score[i] < 0:
                 i = int(d[:, 0].argmax())

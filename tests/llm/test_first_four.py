@@ -258,3 +258,16 @@ def test_full_caches_change_nothing(spark, tokenizer):
         for _ in range(2):
             assert [np.frombuffer(x, "<u4").tolist() for x in bpe.many(texts, 5000)] == [tokenizer["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids for t in texts]
             assert list(lengths.many(texts, 5000)) == [len(tokenizer["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_texts_with_other_white_space_go_whole(tokenizer):
+    """Also where it stands beside a space, which the number of words doesn't show; new units are learned with long ones among them."""
+    from ctxweave.llm.pretokens import spaced_units
+
+    encode = packing.ByteBpe(*BYTE_BPE)
+    for c in (chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"):
+        assert spaced_units(f"a {c}b c") is None and spaced_units(f"a{c}b") is None
+    rows = [f"a {c}b\nc{c}d" for c in "\t\xa0 "] + ["one two\nthree " + "x" * 200 + " four", "four " + "x" * 200]
+    assert spaced_units(rows[-1]) == ["four", " " + "x" * 200]
+    for t, ids in zip(rows, encode.many(rows), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids
