@@ -574,3 +574,10 @@ def test_large_contexts_meet_block_by_block(spark, monkeypatch):
         assert rows(prune.prune(df, 0.6)) == pruned
         plan = scores._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Generate") == 1 and plan.count("Join") == (small < max(sizes))
+
+
+def test_lines_are_scored_within_their_row(spark):
+    """Fences pair up without a window over a context's lines."""
+    plan = prune.line_scores(contexts(spark))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [x for x in plan if x.lstrip(" +-:").startswith("Window")]
+    assert windows and not [x for x in windows if "line" in x]
