@@ -146,7 +146,8 @@ def line_scores(chunks: DataFrame) -> DataFrame:
 
     Contexts of more than SMALL chunks or SMALL_BYTES bytes are compared at once, by jobs of their own.
     """
-    out = _lines(chunks).select("ctx_id", "pos", F.posexplode("__lines").alias("line_no", "x"))
+    # no column that scores don't need goes through windows; the outer form, as for the inner one Spark would score all lines once more to filter by their count
+    out = _lines(chunks.select("ctx_id", "pos", "role", "content")).select("ctx_id", "pos", F.posexplode_outer("__lines").alias("line_no", "x"))
     return out.where("x.open").select("ctx_id", "pos", "line_no", "x.line", "x.score")
 
 

@@ -581,3 +581,27 @@ def test_lines_are_scored_within_their_row(spark):
     plan = prune.line_scores(contexts(spark))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     windows = [x for x in plan if x.lstrip(" +-:").startswith("Window")]
     assert windows and not [x for x in windows if "line" in x]
+
+
+def test_lines_are_scored_once_and_without_what_scores_do_not_need(spark):
+    """No filter scores all lines again before they are listed, and no text goes through windows of tokens."""
+    plan = prune.line_scores(contexts(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("great question") == prune.prune(contexts(spark))._jdf.queryExecution().optimizedPlan().toString().count("great question") > 0
+    assert "sum(token_count" not in plan and "relevance_score" not in plan
+
+
+def test_contexts_of_several_blocks_meet_together(monkeypatch):
+    """Waves hold blocks of as many contexts as fit; each context's blocks come in order, one in a wave, and are as few as need be."""
+    from types import SimpleNamespace
+
+    from ctxweave.operators import overlap
+
+    monkeypatch.setattr(overlap, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(overlap, "WAVE_BYTES", 200)
+    sizes = {0: [10] * 45, 1: [10] * 12, 2: [10] * 3, 3: [10] * 12, 4: [30], 5: [10] * 12, 6: [250, 10]}
+    groups = overlap._groups([SimpleNamespace(c=c, step=i, bytes=b) for c, own in sizes.items() for i, b in enumerate(own)])
+    for c, own in sizes.items():
+        (mine,) = [g for g in groups if c in g[0]]
+        assert [i for wave in mine for i in range(*wave[c])] == list(range(len(own)))
+    assert all(sum(sum(sizes[c][low:high]) for c, (low, high) in wave.items()) <= 200 for g in groups for wave in g if 6 not in wave)
+    assert [sorted(g[0]) for g in groups] == [[2, 4], [1, 3], [5], [6], [0]]
