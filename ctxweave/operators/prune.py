@@ -93,9 +93,9 @@ def _many(chunks: DataFrame, ids: list[int | None]) -> DataFrame:
     c = c if number is None else F.when(F.col("ctx_id").isNull(), c).otherwise(F.try_element_at(number, F.col("ctx_id")))
     held = stage(_marked(chunks).withColumn("__c", c), "prune-chunks", row_group=ROW_GROUP)
     found, size = met_by_blocks(held.select(F.col("__c").alias("c"), "pos", _words().alias("words")))
-    found = found.select(F.col("c").alias("__c"), "pos", F.col("kept").alias("__kept"), F.col("inside").alias("__inside"), F.col("met").alias("__met"))
-    facts = F.transform(F.arrays_zip("__kept", "__inside", "__met"), lambda x: F.struct(x["__kept"].alias("kept"), x["__inside"].alias("inside"), F.when(x["__met"] == 2, 0.8).when(x["__met"] == 1, 0.6).otherwise(0.0).alias("overlap")))
-    told = held.join(F.broadcast(found) if size <= TOLD_BYTES else found, ["__c", "pos"])
+    found = found.select(F.col("c").alias("__c"), "pos", F.col("told").alias("__told"))
+    facts = F.transform("__told", lambda x: F.struct(F.floor(x / 6).cast("int").alias("kept"), (x % 6 >= 3).alias("inside"), F.when(x % 3 == 2, 0.8).when(x % 3 == 1, 0.6).otherwise(0.0).alias("overlap")))
+    told = held.join(F.broadcast(found) if size <= TOLD_BYTES else found.hint("shuffle_hash"), ["__c", "pos"])  # texts are not sorted for it
     return told.select(*[c for c in held.columns if c != "__c"], facts.alias("__facts"))
 
 

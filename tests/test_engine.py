@@ -605,3 +605,19 @@ def test_contexts_of_several_blocks_meet_together(monkeypatch):
         assert [i for wave in mine for i in range(*wave[c])] == list(range(len(own)))
     assert all(sum(sum(sizes[c][low:high]) for c, (low, high) in wave.items()) <= 200 for g in groups for wave in g if 6 not in wave)
     assert [sorted(g[0]) for g in groups] == [[2, 4], [1, 3], [5], [6], [0]]
+
+
+def test_texts_are_not_sorted_for_what_is_known_of_their_lines(spark, monkeypatch):
+    """Too large to be sent to all tasks, it is joined by hash; one number a line holds it, and rows stay the same."""
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    df = contexts(spark)
+    expected, pruned = rows(prune.line_scores(df)), rows(prune.prune(df, 0.6))
+    monkeypatch.setattr(prune, "SMALL", 0)
+    monkeypatch.setattr(prune, "TOLD_BYTES", -1)
+    scores = prune.line_scores(df)
+    assert rows(scores) == expected and rows(prune.prune(df, 0.6)) == pruned
+    plan = scores._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "__told" in plan and "__met" not in plan
