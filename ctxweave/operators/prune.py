@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import is_filler, prune_words, raw_words, trimmed
 from ..functions.tokens import TokenCounter, bytes4
-from ..staging import stage
+from ..staging import drop_shuffles, stage
 from .chunks import is_protected, is_small, per_context
 from .overlap import ROW_GROUP, inside_fences, met_by_blocks
 
@@ -92,6 +92,7 @@ def _many(chunks: DataFrame, ids: list[int | None]) -> DataFrame:
     c = F.lit(ids.index(None) if None in ids else None).cast("int")
     c = c if number is None else F.when(F.col("ctx_id").isNull(), c).otherwise(F.try_element_at(number, F.col("ctx_id")))
     held = stage(_marked(chunks).withColumn("__c", c), "prune-chunks", row_group=ROW_GROUP)
+    drop_shuffles(chunks.sparkSession)  # as much as all texts, and staged now
     found, size = met_by_blocks(held.select(F.col("__c").alias("c"), "pos", _words().alias("words")))
     found = found.select(F.col("c").alias("__c"), "pos", F.col("told").alias("__told"))
     facts = F.transform("__told", lambda x: F.struct(F.floor(x / 6).cast("int").alias("kept"), (x % 6 >= 3).alias("inside"), F.when(x % 3 == 2, 0.8).when(x % 3 == 1, 0.6).otherwise(0.0).alias("overlap")))

@@ -66,6 +66,11 @@ def discard(staged: DataFrame) -> None:
     _remove(staged.sparkSession, staged.staged)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have shuffle files removed that no plan refers to any more; Spark finds them when the driver's JVM collects garbage, which may be long after."""
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all that this process has staged, catalog tables too; results that still read it can't be read again."""
     for path in list(_STAGED):

@@ -621,3 +621,18 @@ def test_texts_are_not_sorted_for_what_is_known_of_their_lines(spark, monkeypatc
     plan = scores._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert "__told" in plan and "__met" not in plan
+
+
+def test_shuffles_go_once_texts_are_staged(spark, monkeypatch):
+    """Before words are staged, files of the shuffle that brought the texts may go."""
+    from ctxweave.operators import overlap
+
+    seen = []
+    staged, drop = prune.stage, prune.drop_shuffles
+    monkeypatch.setattr(prune, "stage", lambda df, label, *a, **k: (staged(df, label, *a, **k), seen.append(label))[0])
+    monkeypatch.setattr(prune, "drop_shuffles", lambda s: (drop(s), seen.append("drop"))[0])
+    words = overlap.stage
+    monkeypatch.setattr(overlap, "stage", lambda df, label, *a, **k: (words(df, label, *a, **k), seen.append(label))[0])
+    monkeypatch.setattr(prune, "SMALL", 0)
+    prune.line_scores(contexts(spark))
+    assert seen[:3] == ["prune-chunks", "drop", "prune-words"]
