@@ -4,9 +4,11 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ctxweave import staging
 from ctxweave.functions import pricing, text
 from ctxweave.operators import bookend, budget, chunks, compaction, dedup, diff, duplication, health, metrics, prune, structural, summarize, tfidf
 from ctxweave.plans import commands, pipeline
@@ -97,6 +99,30 @@ def test_pairs_of_large_contexts_meet_block_by_block(spark, monkeypatch):
     assert not any(x in got._jdf.queryExecution().toString() for x in ("SortMergeJoin", "BroadcastHashJoin", "Exchange hashpartitioning(w"))
 
 
+def test_copies_in_a_block_are_compared_once():
+    """A block holds each set once, whatever the order of its words, and its pairs are those of all chunks."""
+    sets = [[5, 6, 7], [7, 6, 5], [], [8], [5, 6, 7], [6, 7]] * 3
+    rows = pa.table({"ctx_id": pa.array([4] * 18), "pos": pa.array(range(18)), "chunk_index": pa.array(range(18)), "token_count": pa.array([1] * 18), "n": pa.array([len(x) for x in sets], pa.int32()), "ws": pa.array(sets, pa.list_(pa.int64()))})
+    (block,) = duplication._blocks(rows, 4)
+    assert block.n.tolist() == [3, 1, 2] and len(block.pos) == 15 and duplication._blocks(rows, 5) == []
+    owner, h = duplication._flat(rows)
+    found = {(int(block.pos[x]), int(y), round(float(z), 6)) for a, b, s in block.pairs(np.arange(18), np.array([len(x) for x in sets]), owner, *np.unique(h, return_inverse=True), 0.5) for x, y, z in zip(a, b, s, strict=True)}
+    share = lambda x, y: round(len(x & y) / max(1, len(x | y)), 6)
+    assert found == {(i, j, share(set(sets[i]), set(sets[j]))) for j in range(18) for i in range(j) if share(set(sets[i]), set(sets[j])) >= 0.5}
+
+
+def test_words_of_a_large_context_are_found_by_many_tasks(spark, monkeypatch):
+    """They were found by the one task to which the context's windows had brought its texts; the top pairs stay the same."""
+    df = chunks.build_chunks(spark.createDataFrame([(1, i, "user", f"alpha beta w{i % 5} x{i}") for i in range(60)], "ctx_id long, pos long, role string, content string"))
+    want = sorted(map(tuple, duplication.top_pairs(duplication.duplicate_pairs(df)).collect()))
+    staged = []
+    monkeypatch.setattr(duplication, "STEP", 10)
+    monkeypatch.setattr(duplication, "stage", lambda *a, **b: staged.append(staging.stage(*a, **b)) or staged[-1])
+    with duplication.confs(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        assert sorted(map(tuple, duplication.top_pairs(duplication.duplicate_pairs(df, small=0)).collect())) == want and len(want) == 3
+    assert staged[0].select(F.input_file_name()).distinct().count() > 1
+
+
 def test_health_of_empty_single_and_identical(spark):
     assert health.analyze(chat(spark, ("user", "x")).where("false")).count() == 0
     one = health.analyze(chat(spark, ("user", "hello"))).first()
