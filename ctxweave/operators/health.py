@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import model_budget
 from ..functions.text import grade, with_commas
-from .duplication import duplicate_pairs
+from .duplication import pairs_and_chunks
 
 #: Weights of the three scores.
 WEIGHTS = {"dead_zone_score": 0.30 / 0.75, "duplication_score": 0.25 / 0.75, "budget_score": 0.20 / 0.75}
@@ -49,7 +49,7 @@ def recommendations(budget: int) -> Column:
 def analyze(chunks: DataFrame, model: str = "gpt-4o", threshold: float = 0.15) -> DataFrame:
     """One row for each context: dead zone, duplication, budget, the health score 0 to 100 and recommendations."""
     budget = model_budget(model)
-    pairs = duplicate_pairs(chunks, threshold)
+    pairs, chunks = pairs_and_chunks(chunks, threshold)
     dup = pairs.groupBy("ctx_id").agg(F.count(F.lit(1)).alias("duplicate_pairs"), F.round(F.sum("duplicate_tokens")).cast("long").alias("duplicate_tokens"))
     out = budget_metric(dead_zone_metric(chunks), budget).join(dup, "ctx_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("duplicate_pairs", "duplicate_tokens")})
     out = out.withColumn("duplicate_ratio", F.least(F.lit(1.0), _ratio(F.col("duplicate_tokens"), F.col("total_tokens"))))

@@ -123,6 +123,17 @@ def test_words_of_a_large_context_are_found_by_many_tasks(spark, monkeypatch):
     assert staged[0].select(F.input_file_name()).distinct().count() > 1
 
 
+def test_health_of_large_contexts_reads_texts_once(spark, monkeypatch):
+    rows = [(c, i, "user", f"alpha beta w{i % 3} x{i} " * 9) for c in (1, None) for i in range(20)]
+    df = chunks.build_chunks(spark.createDataFrame(rows, "ctx_id long, pos long, role string, content string"))
+    want = sorted(map(str, health.analyze(df).collect()))
+    monkeypatch.setattr(duplication, "is_small", lambda df: False)
+    got = health.analyze(df)
+    assert sorted(map(str, got.collect())) == want and len(want) == 2
+    for plan in (got,):
+        assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_health_of_empty_single_and_identical(spark):
     assert health.analyze(chat(spark, ("user", "x")).where("false")).count() == 0
     one = health.analyze(chat(spark, ("user", "hello"))).first()
